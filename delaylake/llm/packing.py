@@ -3,9 +3,10 @@
 Documents become pieces of at most ``capacity`` tokens (only longer ones are cut). Pieces are
 dealt over partitions; each packs its own by best-fit decreasing and certifies its number of
 bins with dual-feasible-function lower bounds. A partition with more bins than its bound gives
-the documents of its emptiest bins to an exchange; exchanged documents of several partitions are
-packed together by best-fit decreasing, certified again, and so on until no gap is left or all
-that is left has met in one place. An exchange that would not save a bin is undone.
+the documents of its emptiest bins to an exchange; one that meets its bound gives its emptiest
+bins too, fewer of them, as the bound was rounded up. Exchanged documents of several partitions are packed
+together by best-fit decreasing, certified again, and so on until no gap is left or all that is
+left has met in one place. An exchange that would not save a bin is undone.
 
 A null text counts as empty: it is the one token 0. Repeated rows are packed as they come.
 An empty table gives an empty result; further columns of the input are ignored.
@@ -135,11 +136,10 @@ def _pack(capacity: int, level: int):
         else:
             names = first + np.arange(made)
         gap = made - lower_bound(lengths, capacity)
+        fill = np.bincount(bins, weights=lengths, minlength=made)
         released = np.zeros(made, bool)
-        if gap > 0:
-            fill = np.bincount(bins, weights=lengths, minlength=made)
-            released[np.argsort(fill, kind="stable")[: 8 * (gap + 1)]] = True
-            released &= fill < capacity
+        released[np.argsort(fill, kind="stable")[: 8 * (gap + 1)]] = True
+        released &= fill < capacity
         rows["part"] = int(key[0])
         rows["sequence_id"], rows["offset"], rows["released"] = names[bins], offsets, released[bins]
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "released"]]
