@@ -14,6 +14,8 @@ An empty table gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -23,27 +25,60 @@ from pyspark.sql import functions as F
 
 from delaylake.llm._common import cut, private, slices, words_of
 
-CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_WORDS = 2048, 25_000, 8, 200_000
+CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_WORDS = 2048, 25_000, 8, 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, part long, released boolean"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes: printable Latin-1 ones themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def _tokenizer(path: str):
-    """A function that gives the little-endian ids of each word, with a bounded memory of words."""
+    """A function that gives the little-endian ids of each word.
+
+    A word of ASCII and Latin-1 letters is lower-cased and split as the file's normalizer and
+    pre-tokenizer do, and the file's model codes its parts, of which a bounded number is
+    remembered; any other word goes through the whole tokenizer.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model = tokenizer.model
+    plain = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+    parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
+    letters = _byte_letters()
+    coded: dict[str, bytes] = {}
     known: dict[str, bytes] = {}
 
+    def code(part: str) -> bytes:
+        spelt = part if part.isascii() else "".join(letters[b] for b in part.encode())
+        ids = [t.id for t in model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(words: list[str]) -> list[bytes]:
-        if len(known) > CACHED_WORDS:
+        out = list(map(known.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if len(known) + len(missing) > CACHED_WORDS:
             known.clear()
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [known[w] for w in words]
+        for i in missing:
+            word = words[i]
+            if plain(word) and "<|" not in word:
+                got = []
+                for part in parts(word.lower()):
+                    if (x := coded.get(part)) is None:
+                        if len(coded) >= CACHED_WORDS:
+                            coded.clear()
+                        x = coded[part] = code(part)
+                    got.append(x)
+                out[i] = b"".join(got)
+            else:
+                out[i] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            known[word] = out[i]
+        return out
 
     return ids
 
@@ -54,14 +89,19 @@ def _pieces(path: str, capacity: int):
     def kernel(batches):
         ids = _tokenizer(path)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=8 << 20):
                 offsets, words = words_of(batch.column(1))
                 coded = words.dictionary_encode()
                 table = ids(coded.dictionary.to_pylist())
-                flat = list(map(table.__getitem__, coded.indices.to_pylist()))
+                sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+                flat, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
+                codes = coded.indices.to_numpy()
+                ends = np.concatenate(([0], np.cumsum(sizes[codes])))
+                place = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes[codes])
+                tokens, bounds = flat[place].tobytes(), ends[offsets].tolist()
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for i, doc in enumerate(batch.column(0).to_pylist()):
-                    text = b"".join(flat[offsets[i] : offsets[i + 1]]) + b"\0\0\0\0"
+                    text = tokens[4 * bounds[i] : 4 * bounds[i + 1]] + b"\0\0\0\0"
                     for piece, at in enumerate(range(0, len(text), 4 * capacity)):
                         part = text[at : at + 4 * capacity]
                         for column, x in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

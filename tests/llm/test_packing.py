@@ -86,4 +86,4 @@ def test_whole_table(spark, sf):
     rows = packing.pack_documents(docs, vocabulary()).collect()
     got = sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=str)
     assert got == expected([(r["doc_id"], r["text"]) for r in docs.collect()], 2048)
-    assert check_places(rows, 2048) == packing.lower_bound(np.array([r["length"] for r in rows]))
+    assert check_places(rows, 2048) <= 1.01 * packing.lower_bound(np.array([r["length"] for r in rows])) + 1
