@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from delaylake.llm import exact_dedup, packing
+from delaylake.llm import exact_dedup, language_id, mixing, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,24 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.references(docs))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.withColumn("held_out", language_id.held_out()).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, sources = mixing.mix(_table(spark, sf_dir, "documents"), F.array("source"))
+    rows = rows.withColumn("_source", rows["sources"][0])
+    # one row a source: bounded by the operator's check of its patterns
+    return rows.join(F.broadcast(sources), rows["_source"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -25,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_language_id, op5_mixing_sources, op7_best_fit_packing, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
