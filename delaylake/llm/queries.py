@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylake.llm import exact_dedup, language_id, mixing, packing, quality, suffix_dedup
+from delaylake.llm import exact_dedup, jaccard_join, language_id, mixing, packing, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(sources), rows["_source"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_language_id, op5_mixing_sources, op7_best_fit_packing, op9_suffix_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_language_id, op5_mixing_sources, op6_jaccard_join, op7_best_fit_packing, op9_suffix_dedup, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
