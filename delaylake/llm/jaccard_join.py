@@ -291,9 +291,11 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that have a smaller document in their class."""
-    found = jaccard_classes(docs, doc_id, text)
-    dropped = cut(found.filter("doc <> class_id").select(F.col("doc_id").alias("_id")), "dropped")
-    repeated = docs.groupBy(doc_id).count().filter("count > 1")
-    if repeated.isEmpty():
+    if docs.groupBy(doc_id).count().filter("count > 1").isEmpty():
+        found = jaccard_classes(docs, doc_id, text)
+        dropped = cut(found.filter("doc <> class_id").select(F.col("doc_id").alias("_id")), "dropped")
         return docs.join(dropped, docs[doc_id].eqNullSafe(dropped["_id"]), "left_anti")
-    raise ValueError(f"{doc_id} must be unique to drop rows by it")
+    # ids that repeat cannot name rows: the rows are written once with numbers of their own
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = cut(jaccard_classes(rows, "_row", text).filter("doc = class_id").select(F.col("doc_id").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
