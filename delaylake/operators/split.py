@@ -132,17 +132,14 @@ class KFold:
 
 def library_sizes(smallest: int, largest: int, step: int, factor: float, n: int, replacing: bool = False) -> list[int]:
     """Growing library sizes: the step itself grows by ``factor`` in single precision; the first size beyond ``largest`` is cut to it."""
-    out, size, grown, last = [], smallest, np.float32(max(step, 1)), False
-    step = max(step, 1)
+    out, size, stride = [], smallest, max(step, 1)
+    exact = np.float32(stride)
     while size <= largest and (replacing or size < n):
         out.append(size)
-        if last:
-            break
-        size += step
-        grown = np.float32(grown + np.float32(np.float32(factor) * grown))
-        step = int(grown)
-        if size >= largest:
-            size, last = largest, True
+        following = size + stride
+        size = largest if size < largest < following else following
+        exact = np.float32(exact + np.float32(factor) * exact)
+        stride = int(exact)
     return out
 
 
