@@ -7,6 +7,8 @@ and one series of any length is spread over tasks.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,15 +64,26 @@ def embed_one(series: TimeSeries, definition: EmbeddingDef, emb_num: int, block:
     return out.withColumn("emb_num", F.lit(emb_num)).select(*COLUMNS)
 
 
-def embed(series: TimeSeries, definitions: list[EmbeddingDef], block: int = BLOCK) -> DataFrame:
-    """All definitions, ``emb_num`` from 0."""
+def embed(series: TimeSeries, definitions: list[EmbeddingDef], block: int = BLOCK, skip_unknown: bool = False) -> DataFrame:
+    """All definitions, ``emb_num`` from 0; ``skip_unknown`` leaves out those with unknown variables, with a warning."""
     out = None
     for i, definition in enumerate(definitions):
+        if skip_unknown and set(definition.variables) - set(series.data):
+            logging.getLogger("delaylake").warning("embedding %d has unknown variables and is skipped", i)
+            continue
         one = embed_one(series, definition, i, block)
         out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no embedding is left")
     return out
 
 
+def co_variables(definition: EmbeddingDef) -> tuple[int, ...]:
+    """A number for each coordinate's variable, for exclusion by shared times of one variable."""
+    names = list(dict.fromkeys(v.name for v in definition.co))
+    return tuple(names.index(v.name) for v in definition.co)
+
+
 def embedding_meta(series: TimeSeries, definitions: list[EmbeddingDef]) -> DataFrame:
     """(emb_num, emb_label, e, n_pre_val, n_addit_val, n_bundle_val, copr, coord, var_name, lag)."""
     rows = []

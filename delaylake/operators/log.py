@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from enum import IntFlag
 
 from pyspark.sql import DataFrame, Window
@@ -112,12 +113,39 @@ def text_lines(rows: DataFrame, kind: str, sep: str = "\t", quote: str = '"') ->
     return rows.select(F.concat_ws(sep, *parts).alias("value"))
 
 
-def binary_records(records_: list[tuple[int, bytes]]) -> bytes:
-    """Framed records as one binary log."""
-    return b"".join(frame(kind, payload) for kind, payload in records_)
+#: Payload types of a binary log: little-endian, a text as its length and bytes.
+_PACKED = {"double": "<d", "float": "<d", "int": "<i", "smallint": "<i", "tinyint": "<i", "bigint": "<q", "boolean": "<i"}
 
 
-def write_log(tables: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet table for each record kind."""
+def binary_records(rows: DataFrame, kind: str) -> DataFrame:
+    """(value): each row as a framed record, the kind's number and its fields in order; null numbers are NaN or 0."""
+    number, types = list(KINDS).index(kind), dict(rows.dtypes)
+    names = [f for f in KINDS[kind] if f in types]
+    formats = [_PACKED.get(types[f]) for f in names]
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for values in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
+                payload = b""
+                for form, v in zip(formats, values, strict=True):
+                    if form is None:
+                        text = str("" if v is None else v).encode()
+                        payload += struct.pack("<i", len(text)) + text
+                    else:
+                        payload += struct.pack(form, (float("nan") if form == "<d" else 0) if v is None else v)
+                out.append(frame(number, payload))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    return rows.select(*names).mapInArrow(pack, "value binary")
+
+
+def write_log(tables: dict[str, DataFrame], folder: str, form: str = "parquet", sep: str = "\t", quote: str = '"') -> None:
+    """One table for each record kind: Parquet, or lines of text."""
     for kind, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{kind.lower()}")
+        if form == "text":
+            text_lines(rows, kind, sep, quote).write.mode("overwrite").text(f"{folder}/{kind.lower()}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{folder}/{kind.lower()}")

@@ -39,6 +39,10 @@ class Simplex:
     def params(self) -> list[dict]:
         return [{"params_id": 0, "theta": None}]
 
+    def logged(self) -> tuple[str, list[tuple]]:
+        schema = "nnn_add int, excl int, var_win int, denom_type int, exp_k double, object_only_once int"
+        return schema, [(0, self.nnn_add, int(self.search.exclude), self.search.window, int(self.denominator), float(self.exp_k), int(self.search.once))]
+
     def predict(self, sets: Sets, vectors: DataFrame, e_of: dict[int, int]) -> tuple[DataFrame, DataFrame]:
         """(task, params_id, target_idx, target_num, pre_val_num, pre_val, obs_val, status), and the neighbours."""
         k_of = {emb: e + self.nnn_add for emb, e in e_of.items()}

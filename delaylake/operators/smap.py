@@ -104,6 +104,10 @@ class SMap:
     def params(self) -> list[dict]:
         return [{"params_id": i, "theta": t} for i, t in enumerate(self.thetas)]
 
+    def logged(self) -> tuple[str, list[tuple]]:
+        schema = "nnn int, excl int, var_win int, theta double, center int"
+        return schema, [(i, self.nnn, int(self.search.exclude), self.search.window, float(t), int(self.center)) for i, t in enumerate(self.thetas)]
+
     def solve(self, x: np.ndarray, co: np.ndarray, pre: np.ndarray, distance: np.ndarray, theta: float) -> dict:
         """One target: prediction values, status, coefficients, means, rank."""
         e, outputs = co.shape[1], pre.shape[1]

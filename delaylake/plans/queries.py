@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from delaylake.functions.rng import mixed_sql
 from delaylake.operators.embed import bundles, embed, embedding_meta
-from delaylake.operators.neighbours import TASK, Exclusion, Search, neighbours
+from delaylake.operators.log import LogLevel
+from delaylake.operators.neighbours import Exclusion, Search, neighbours
 from delaylake.operators.simplex import Denominator, Simplex
 from delaylake.operators.smap import SMap
 from delaylake.operators.split import Bootstrap, Convergent, KFold, LeaveOneOut, UserSplit, library_sizes
@@ -473,7 +474,7 @@ def ccm_curve(spark, sf_dir):
 @query(f"with {_DAILY}, {_E} select 'P' as set_code, 1 as set_num, count(*) as n_point from e")
 def log_members(spark, sf_dir):
     run = _daily_run(spark, sf_dir, Simplex(), SHORT)
-    rows = run.log_table(["sh_set_code", "sh_n_point"], "SH")
+    rows = run.log_table(["sh_set_code", "sh_n_point"], "SH", LogLevel.EMB_PAR | LogLevel.PRE_SET)
     return rows.select(F.col("sh_set_code").alias("set_code"), F.lit(1).alias("set_num"), F.col("sh_n_point").cast("long").alias("n_point"))
 
 
@@ -483,7 +484,7 @@ _LOGGED = "select target_num, pre_val_num, round(pre_val, 5) as pre_val, round(o
 @query(f"with {_DAILY}, {_simplex(TWO, _DENOMINATORS['avg_nn'], 3)} {_LOGGED}, 0 as emb_num from pairs")
 def log_forward_fill(spark, sf_dir):
     run = _daily_run(spark, sf_dir, Simplex(), TWO)
-    rows = run.log_table(["embpar1_emb_num", "tg2_target_num", "pd_pre_val_num", "pd_pre_val", "pd_obs_val"], "PD")
+    rows = run.log_table(["embpar1_emb_num", "tg2_target_num", "pd_pre_val_num", "pd_pre_val", "pd_obs_val"], "PD", LogLevel.EMB_PAR | LogLevel.PREDICTED)
     value = lambda f: F.round(F.col(f).cast("double"), 5)
     return rows.select(
         F.col("tg2_target_num").cast("long").alias("target_num"), F.col("pd_pre_val_num").cast("int").alias("pre_val_num"),
@@ -491,6 +492,27 @@ def log_forward_fill(spark, sf_dir):
     )
 
 
+@query(
+    f"""with {_panel()}, e as {_emb(parse_lags(SHORT)[0], extra=', g')}
+    select vec_num, 'C' as copr, 0 as idx, tc0 as t, c0 as val from e union all select vec_num, 'C', 1, tc1, c1 from e
+    union all select vec_num, 'P', 0, tp0, p0 from e union all select vec_num, 'B', 0, 0, g from e"""
+)
+def log_vectors(spark, sf_dir):
+    run = traverse(panel(spark, sf_dir, bundle=True), parse_lags(SHORT), Simplex())
+    return run.tables(LogLevel.EMB_VEC)["VAL"].select("vec_num", "copr", "idx", "t", "val")
+
+
+@query(f"with {_BUNDLED} select distinct bundle_num, 0 as vec_idx, g as vec_val from b")
+def log_bundles(spark, sf_dir):
+    run = traverse(panel(spark, sf_dir, bundle=True), parse_lags(SHORT), Simplex())
+    return run.tables(LogLevel.BUNDLE_PAR)["BV"].select("bundle_num", "vec_idx", "vec_val")
+
+
+@query(f"with {_DAILY}, {_near(SHORT, 3)} {_NEAR_OUT}")
+def log_neighbours(spark, sf_dir):
+    return _daily_run(spark, sf_dir, Simplex(), SHORT).tables(LogLevel.NEAR_NEIGH)["NN"].select("target_num", "seq", "num", "sqdst")
+
+
 @query(f"with {_DAILY}, {_simplex(SHORT, _DENOMINATORS['avg_nn'], 3)} {_LOGGED}, 0 as status from pairs")
 def log_predicted(spark, sf_dir):
     run = _daily_run(spark, sf_dir, Simplex(), SHORT)

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from delaylake.functions.tables import medians, numbered
-from delaylake.operators.embed import bundles, embed
-from delaylake.operators.log import log_table, records, text_lines
+from delaylake.operators.embed import bundles, co_variables, embed
+from delaylake.operators.log import KINDS, binary_records, log_table, records, text_lines, write_log
 from delaylake.operators.neighbours import Exclusion, Search, neighbours
 from delaylake.operators.simplex import Denominator, Simplex, library_rms
 from delaylake.operators.smap import FAILED, NO_POINTS, RESTRICTED, SMap, reference_distance, total_least_squares
@@ -13,7 +13,7 @@ from delaylake.operators.split import Bootstrap, Convergent, KFold, LeaveOneOut,
 from delaylake.operators.stats import skill
 from delaylake.plans.spec import parse_lags
 from delaylake.plans.traverse import traverse
-from delaylake.sources.series import TimeSeries
+from delaylake.sources.series import TimeSeries, frames
 
 
 def series(spark, values, **more):
@@ -210,3 +210,33 @@ def test_log_table(spark):
     lines = text_lines(spark.createDataFrame([(0, 1.5, 2.0, 0)], "pre_val_num int, pre_val double, obs_val double, status int"), "PD").first()["value"]
     assert lines == "PD\t0\t1.500000e+00\t2.000000e+00\t0"
     assert records(rows.selectExpr("seq as target_num"), "TG2", []).first()["fields"] == {"tg2_target_num": "0"}
+
+
+def test_every_level_of_the_log(spark, tmp_path):
+    df = spark.createDataFrame([(t, float(v), float(t % 2), float(t % 3)) for t, v in enumerate(logistic(40))], "t long, x double, g double, h double")
+    ts = TimeSeries.from_dataframe(df, ["x", "h"], time="t", bundle=["g"])
+    kinds = set()
+    for predictor, split in ((Simplex(), KFold(2)), (SMap((0.0, 1.0)), LeaveOneOut())):
+        run = traverse(ts, parse_lags("x,0:x,-1:h,0"), predictor, split)
+        tables = run.tables()
+        kinds |= set(tables)
+        for kind, rows in tables.items():
+            assert set(KINDS[kind]) & set(rows.columns) and (kind == "EMBPAR3" or rows.count() > 0), kind
+        log = run.log()
+        rows = log.orderBy("seq").collect()
+        assert [r["seq"] for r in rows] == list(range(len(rows))) and rows[0]["kind"] == "EMBPAR1"
+        number = len(run.predictions.select("params_id").distinct().collect())
+        table = run.log_table(["bp_bundle_num", "kp_fn_type", "tg2_target_num", "pd_pre_val", "pd_obs_val"], "PD").collect()
+        keyed = {(str(r["bundle_num"]), str(r["target_num"]), str(r["obs_val"])) for r in run.predictions.collect()}
+        assert len(table) == run.predictions.count() and {(r["bp_bundle_num"], r["tg2_target_num"], r["pd_obs_val"]) for r in table} == keyed
+        assert number == len(run.params)
+    assert {"STAT", "ADDT", "VAL", "BV", "SPKF", "SPLO", "NN", "PD", "VPM", "VPT", "DTLSO", "DTLSAV", "KPEXP", "KPTLS"} <= kinds
+    write_log({"PD": tables["PD"]}, str(tmp_path), "text")
+    assert spark.read.text(str(tmp_path / "pd")).count() == tables["PD"].count()
+    framed = b"".join(bytes(r["value"]) for r in binary_records(tables["PD"], "PD").collect())
+    assert sum(1 for _ in frames(framed)) == tables["PD"].count()
+
+
+def test_same_variable_exclusion():
+    d = parse_lags("x,0,1;y,0:x,-1")[0]
+    assert co_variables(d) == (0, 0, 1)
