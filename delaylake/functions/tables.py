@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,14 +18,20 @@ def shared_folder(spark: SparkSession) -> str:
         return base
     if spark.sparkContext.master.startswith("local["):
         base = tempfile.mkdtemp(prefix="delaylake-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
         return base
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/_delaylake"
 
 
+def session_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder; it can be deleted when the application has ended."""
+    return f"{shared_folder(spark)}/delaylake-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` in the shared folder and read it back: lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{session_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -43,6 +51,17 @@ def numbered(df: DataFrame, order: list, name: str, label: str = "numbered") ->
     return joined.withColumn(name, F.col("_before") + place).drop("_task", "_at", "_before")
 
 
+def positions(df: DataFrame, groups: list[str], order: list, name: str, size: str | None = None) -> DataFrame:
+    """``df`` with places 0, 1, ... inside each group (nulls equal) in ``order``, and the group's size; no group is one task's."""
+    ranked = numbered(df, [*groups, *order], "_rank", "positions")
+    ranked = cut(ranked, "ranked")
+    spans = cut(ranked.groupBy(*groups).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_count")), "spans")
+    out = null_safe(ranked, spans, groups, "inner").withColumn(name, F.col("_rank") - F.col("_first"))
+    if size:
+        out = out.withColumn(size, F.col("_count"))
+    return out.drop("_rank", "_first", "_count")
+
+
 def medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Exact medians (mean of the middle two, nulls ignored) of ``values`` for each group, nulls in keys equal.
 

@@ -13,11 +13,11 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delaylake.functions.rng import LibcRandom, mixed
-from delaylake.functions.tables import cut
+from delaylake.functions.tables import cut, positions
 
 GROUP = ["emb_num", "bundle_num"]
 MEMBER = [*GROUP, "set_num", "vec_idx", "vec_num"]
@@ -32,10 +32,8 @@ class Sets(NamedTuple):
 
 def placed(vectors: DataFrame) -> DataFrame:
     """(emb_num, bundle_num, vec_num, pos, n, flags, addit) with pos from 0 inside each group."""
-    order = Window.partitionBy(*GROUP).orderBy("vec_num")
-    rows = vectors.select(*GROUP, "vec_num", "use_in_lib", "use_in_pre", "addit", (F.row_number().over(order) - 1).cast("long").alias("pos"))
-    rows = cut(rows, "placed")
-    return rows.join(cut(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")), "sizes"), GROUP)
+    rows = vectors.select(*GROUP, "vec_num", "use_in_lib", "use_in_pre", "addit")
+    return cut(positions(rows, GROUP, ["vec_num"], "pos", "n"), "placed")
 
 
 def _members(rows: DataFrame, idx: Column) -> DataFrame:
@@ -54,9 +52,9 @@ def _groups(rows: DataFrame) -> DataFrame:
 def _permuted(rows: DataFrame, sets: DataFrame, rng: str, key: str) -> DataFrame:
     """rows with ``pos`` replaced by a random place, one permutation for each value of ``key`` in ``sets``."""
     if rng == "arith":
-        order = Window.partitionBy(*GROUP, key).orderBy(mixed(F.col("pos"), F.col(key)), "pos")
-        each = rows.join(sets.select(*GROUP, key).distinct(), GROUP)
-        return each.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+        each = rows.join(sets.select(*GROUP, key).distinct(), GROUP).withColumnRenamed("pos", "_old")
+        each = each.withColumn("_mixed", mixed(F.col("_old"), F.col(key)))
+        return positions(each, [*GROUP, key], ["_mixed", "_old"], "pos").drop("_mixed", "_old")
     wanted: dict[tuple, set] = {}
     for r in sets.select(*GROUP, "n", key).distinct().collect():
         if r["n"] > DRIVER_ROWS:
@@ -78,8 +76,8 @@ class UserSplit:
     def split(self, vectors: DataFrame) -> Sets:
         rows = placed(vectors)
         sets = _groups(rows).withColumn("set_num", F.lit(0).cast("long"))
-        order = Window.partitionBy(*GROUP).orderBy("vec_num")
-        sides = [_members(rows.filter(flag).withColumn("set_num", F.lit(0).cast("long")), F.row_number().over(order) - 1) for flag in ("use_in_lib", "use_in_pre")]
+        rows = rows.withColumn("set_num", F.lit(0).cast("long")).drop("pos", "n")
+        sides = [_members(positions(rows.filter(flag), GROUP, ["vec_num"], "pos"), F.col("pos")) for flag in ("use_in_lib", "use_in_pre")]
         if any(s.isEmpty() for s in sides):
             raise ValueError("the library or the prediction set is empty")
         return Sets(*sides, sets)
@@ -214,8 +212,7 @@ class Bootstrap:
         rows = placed(vectors)
         sets = _groups(rows).withColumn("set_num", F.explode(F.sequence(F.lit(0), F.lit(self.n_bootstrap - 1)).cast("array<long>")))
         if self.per_addit_group:
-            stratum = Window.partitionBy(*GROUP, "addit").orderBy("pos")
-            rows = rows.withColumn("_in", (F.row_number().over(stratum) - 1).cast("long")).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*GROUP, "addit")))
+            rows = cut(positions(rows, [*GROUP, "addit"], ["pos"], "_in", "_m"), "strata")
             each = rows.join(sets.select(*GROUP, "set_num"), GROUP)
             each = each.select(*GROUP, "set_num", "addit", F.col("pos").alias("vec_idx"), F.pmod(mixed(F.col("pos"), F.col("set_num")), F.col("_m")).alias("_in"))
             source = rows.select(*GROUP, F.col("addit").alias("_addit"), "_in", "vec_num")
