@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,35 +11,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a kernel works on at once.
-SLICE_BYTES = 4 << 20
-
+from delaylake.functions.tables import cut as _cut
+from delaylake.functions.tables import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share.
+__all__ = ["cut", "partitions", "private", "segment_sums", "shared_folder", "slices", "text_or_empty", "texts_bytes", "words_of"]
 
-    ``spark.checkpoint.dir`` of the session; where that is unset, a temporary folder in local
-    mode and a folder below the warehouse on a cluster.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if spark.sparkContext.master.startswith("local["):
-        base = tempfile.mkdtemp(prefix="delaylake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        return base
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_delaylake"
+#: Bytes of text that a kernel works on at once.
+SLICE_BYTES = 2 << 20
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = _cut(df, label)
     # What the table was made from is no longer needed; Spark frees unreachable shuffle files.
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand texts to kernels in batches of at most 8 MB; rows alone do not bound them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,11 +44,15 @@ def text_or_empty(name: str = "text") -> Column:
 
 def private(df: DataFrame, **columns: Column) -> DataFrame:
     """Only the named columns, so that further ones with clashing names cannot interfere."""
+    small_batches(df.sparkSession)
     return df.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def slices(batch: pa.RecordBatch, text: int = 1, most: int = SLICE_BYTES):
-    """Cut a batch where its text column passes ``most`` bytes; a longer text is a slice alone."""
+    """Cut a batch where its text column passes ``most`` bytes; a longer text is a slice alone.
+
+    After a batch the worker, which later stages use again, gives free memory back.
+    """
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -65,6 +60,15 @@ def slices(batch: pa.RecordBatch, text: int = 1, most: int = SLICE_BYTES):
     edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [batch.num_rows]))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system, as far as the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:

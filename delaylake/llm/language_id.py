@@ -23,11 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaylake.llm._common import private, segment_sums, slices, texts_bytes, words_of
+from delaylake.llm._common import private, segment_sums, slices, small_batches, texts_bytes, words_of
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 16, (3, 4, 5)
 MAX_SAMPLE, STEPS, BATCH, RATE, SEED = 2000, 1000, 24, 0.5, 11
 REJECT_RATE = 0.002
+#: Bytes of text at once: subwords take some hundred times as much.
+PORTION = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,7 +75,7 @@ def _hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _features(batches):
     """(lang, text) of the sample to (lang, buckets, counts)."""
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, most=PORTION):
             offsets, words = words_of(batch.column(1))
             coded = words.dictionary_encode()
             buckets, bounds = _hashed(coded.dictionary)
@@ -95,11 +97,13 @@ def _features(batches):
 def _descend(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: int) -> tuple[np.ndarray, np.ndarray]:
     """Minibatch gradient descent of the embeddings and the softmax; the collapsed table and the bias."""
     rng = np.random.default_rng(SEED)
-    used, inverse = np.unique(np.concatenate([b for b, _ in docs]), return_inverse=True)
+    flat = np.concatenate([b for b, _ in docs])
+    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
+    inverse = np.searchsorted(used, flat).astype(np.int32)
     bounds = np.concatenate(([0], np.cumsum([len(b) for b, _ in docs])))
     weights = np.concatenate([c / c.sum() for _, c in docs])
     # a subword moves by its share of the average, relative to how concentrated the document's shares are
-    pushes = weights / np.repeat(segment_sums(weights**2, bounds), np.diff(bounds))
+    pushes = weights / np.repeat(segment_sums(weights.astype(float) ** 2, bounds), np.diff(bounds)).astype(np.float32)
     embed = rng.normal(0, 0.1, (len(used), WIDTH))
     out, bias = rng.normal(0, 0.1, (WIDTH, langs)), np.zeros(langs)
     queue = np.zeros(0, np.int64)
@@ -139,7 +143,7 @@ def train(rows: list[tuple[str, bytes, bytes]]) -> Model | None:
         return None
     langs = sorted({r[0] for r in rows})
     labels = np.array([langs.index(r[0]) for r in rows])
-    docs = [(np.frombuffer(r[1], "<i4").astype(np.int64), np.frombuffer(r[2], "<f4").astype(float)) for r in rows]
+    docs = [(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in rows]
     held = np.arange(len(docs)) % 4 == 3
     seen = np.flatnonzero(~held)
     table, bias = _descend([docs[i] for i in seen], labels[seen], len(langs))
@@ -157,7 +161,7 @@ def train(rows: list[tuple[str, bytes, bytes]]) -> Model | None:
 def _predict(model: Model | None):
     def kernel(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=PORTION):
                 texts = pc.fill_null(batch.column(1), "")
                 letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
                 if model is None:
@@ -188,6 +192,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MAX_SAMPLE) -> Model | None:
     """Train on a sample of the documents with a language that are not held out."""
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id))
     chosen = known.select(F.xxhash64(F.lit(SEED), F.col(doc_id)).alias("k"), F.col(doc_id).alias("i")).orderBy("k", "i").limit(most)
     # the sample's edge first, from ids alone; then only its documents' texts are read
@@ -208,13 +213,15 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 
 def accepted_rows(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is accepted, with all their columns."""
+    small_batches(docs.sparkSession)
     kernel = _predict(model)
     at = docs.columns.index(text)
 
     def keep(batches):
         for whole in batches:
-            for batch in slices(whole, at):
-                verdict = next(kernel([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["doc_id", "text"])]))
-                yield batch.filter(verdict.column(3))
+            for batch in slices(whole, at, PORTION):
+                text_twice = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["doc_id", "text"])
+                verdicts = [v.column(3) for v in kernel([text_twice])]
+                yield batch.filter(pa.concat_arrays(verdicts))
 
     return docs.mapInArrow(keep, docs.schema)

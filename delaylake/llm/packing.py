@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from delaylake.llm._common import cut, private, slices, words_of
 
-CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_WORDS = 2048, 25_000, 8, 400_000
+CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_WORDS = 2048, 25_000, 8, 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, part long, released boolean"
 
@@ -89,7 +89,7 @@ def _pieces(path: str, capacity: int):
     def kernel(batches):
         ids = _tokenizer(path)
         for whole in batches:
-            for batch in slices(whole, most=8 << 20):
+            for batch in slices(whole, most=4 << 20):
                 offsets, words = words_of(batch.column(1))
                 coded = words.dictionary_encode()
                 table = ids(coded.dictionary.to_pylist())

@@ -61,3 +61,13 @@ def test_calibration_lowers_the_loss():
         rows.append(("b" if i % 2 else "a", which.astype("<i4").tobytes(), times.astype("<f4").tobytes()))
     model = op.train(rows)
     assert model.langs == ["a", "b"] and 0 < model.threshold <= 0.5
+
+
+def test_long_texts_are_kept_whole(spark):
+    langs = ["the of and to in ", "der die und nicht ein "]
+    train = [(4 * i, langs[i % 2], "en" if i % 2 == 0 else "de") for i in range(40)]
+    long = [(1001 + i, langs[i % 2] * 80_000 if i != 3 else "123 " * 300_000, None) for i in range(8)]
+    docs = spark.createDataFrame(train + long, "doc_id long, text string, lang string").coalesce(1)
+    kept = op.accepted_rows(docs, op.fit(docs))
+    assert kept.filter("doc_id > 1000").count() == 7
+    assert {r["n"] for r in kept.filter("doc_id > 1000").selectExpr("length(text) as n").collect()} == {len(x) * 80_000 for x in langs}
