@@ -31,7 +31,7 @@ COMMON, FLUSH = 0.001, 100_000
 #: Shortest documents that each histogram judges, in characters and words.
 MIN_CHARS, MIN_COMMON_WORDS = 150, 30
 #: Largest distance a + b / sqrt(n): a histogram of n draws strays from its source by about 1 / sqrt(n).
-CLASS_LIMIT, WORD_LIMIT = (0.19, 1.6), (0.30, 1.6)
+CLASS_LIMIT, WORD_LIMIT = (0.20, 1.8), (0.31, 1.6)
 EDGES = " \t\n\v\f\r.,;:!?\"'()[]{}<>*#$%&|=-_+/\\~`@^"
 #: Character classes: lower, upper, digit, blank, line end, sentence mark, symbol, control, other.
 CLASSES = 9
@@ -111,7 +111,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
     is_class = F.col("word").startswith(" ")
     totals = counts.filter(~is_class).groupBy("lang").agg(F.sum("n").alias("total"))
     totals = cut(totals, "totals")
-    large = totals.crossJoin(F.broadcast(totals.agg(F.sum("total").alias("all")))).filter(F.col("total") >= COMMON * F.col("all")).drop("all")
+    least = COMMON * (totals.agg(F.sum("total").alias("n")).first()["n"] or 0)
+    large = totals.filter(F.col("total") >= least)
     total = {r["lang"]: r["total"] for r in large.collect()}  # at most 1 / COMMON languages
     if not total:
         return None
