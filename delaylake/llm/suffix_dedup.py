@@ -28,14 +28,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaylake.llm._common import cut, partitions, private, slices
+from delaylake.llm._common import cut, give_back, partitions, private, slices
 
 THRESHOLD, PREFIXES = 100, (32, 64, 100)
-BLOCK, CHUNK = 4 << 20, 24 << 20
+BLOCK, CHUNK = 4 << 20, 1_000_000
 #: Kinds of rows: windows that repeat; windows for the next round; a context; an anchor with several.
 REPEATS, OPEN, CONTEXT, SEVERAL = 0, 1, 2, 3
 ROWS = "anchor long, ctx long, doc long, base long, place long"
@@ -59,8 +60,12 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     return ranks
 
 
-def contexts(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the windows of ``data`` (at least one): anchor rank, first window and number of windows of each context."""
+def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of strings (a window or longer each) that lie end to end in ``data``.
+
+    Anchor rank, first window (its place in ``data``) and number of windows. Windows reach over
+    no string's end, and what is computed beyond one is not used.
+    """
     ranks, wide = prefix_ranks(data, length), THRESHOLD - length + 1
     # fingerprint above, place below: the smallest is the leftmost of the smallest fingerprints
     low = np.uint64((1 << 24) - 1)
@@ -68,9 +73,14 @@ def contexts(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     while size < wide:
         step = min(size, wide - size)
         least, size = np.minimum(least[: len(least) - step], least[step:]), size + step
-    at = (least & low).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return ranks[at[first]].view(np.int64), first, np.diff(np.concatenate((first, [len(at)])))
+    windows = np.diff(offsets) - (THRESHOLD - 1)
+    starts = np.cumsum(windows) - windows
+    valid = np.arange(windows.sum()) + np.repeat(offsets[:-1] - starts, windows)
+    at = (least[valid] & low).astype(np.int64)
+    new = np.concatenate(([True], at[1:] != at[:-1]))
+    new[starts] = True
+    first = np.flatnonzero(new)
+    return ranks[at[first]].view(np.int64), valid[first], np.diff(np.concatenate((first, [len(at)])))
 
 
 def _blocks(batches):
@@ -87,26 +97,32 @@ def _blocks(batches):
 
 
 def _ranked(length: int):
-    """(doc, base, data) to rows, folded over chunks of ``CHUNK`` bytes."""
+    """(doc, base, data) to rows, folded over chunks of ``CHUNK`` rows."""
 
     def kernel(batches):
         held, size = [], 0
         for whole in batches:
-            for batch in slices(whole, 2):
-                for doc, base, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    anchor, first, number = contexts(np.frombuffer(data, np.uint8), length)
-                    if length == THRESHOLD:
-                        ctx = anchor
-                    else:
-                        ends = first + number + (THRESHOLD - 1)
-                        ctx = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
-                    held.append((anchor, ctx, np.full(len(first), doc), np.full(len(first), base), (first << 16) | (number << 4)))
-                    size += len(data)
+            for batch in slices(whole, 2, 1 << 20):
+                data = b"".join(batch.column(2).to_pylist())
+                offsets = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64))))
+                anchor, first, number = contexts(np.frombuffer(data, np.uint8), offsets, length)
+                if length == THRESHOLD:
+                    ctx = anchor
+                else:
+                    ends = first + number + (THRESHOLD - 1)
+                    ctx = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
+                owner = np.searchsorted(offsets, first, side="right") - 1
+                doc, base = (batch.column(i).to_numpy()[owner] for i in range(2))
+                held.append((anchor, ctx, doc, base, ((first - offsets[owner]) << 16) | (number << 4)))
+                size += len(first)
                 if size > CHUNK:
                     yield from _fold(held)
                     held, size = [], 0
+                    give_back()
         if held:
             yield from _fold(held)
+        held = []
+        give_back()
 
     return kernel
 
@@ -210,10 +226,13 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc, start, number) of the runs of windows that repeat, for rows (doc, text)."""
-    source = docs.select("doc", "text").mapInArrow(_blocks, "doc long, base long, data binary")
+    whole = docs.select("doc", "text")
+    source = whole.mapInArrow(_blocks, "doc long, base long, data binary")
     found, kind, place = None, F.col("place").bitwiseAND(15), F.shiftright("place", 16)
     for length in PREFIXES:
-        rows = source.mapInArrow(_ranked(length), ROWS)
+        # the first round cuts and ranks texts in one worker
+        ranked = _ranked(length)
+        rows = source.mapInArrow(ranked, ROWS) if found is not None else whole.mapInArrow(lambda b, f=ranked: f(_blocks(b)), ROWS)
         met = rows.repartition(_tasks(docs), "anchor").sortWithinPartitions("anchor", "ctx", "doc", "base", "place")
         decided = cut(met.mapInArrow(_met, ROWS).select("doc", "base", "place"), f"windows-{length}")
         runs = decided.filter(kind == REPEATS).select("doc", (F.col("base") + place).alias("start"), F.shiftright("place", 4).bitwiseAND(0xFFF).alias("number"))

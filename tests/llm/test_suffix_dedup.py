@@ -61,7 +61,7 @@ def corpus():
 
 @pytest.mark.parametrize("parts", [1, 5])
 def test_against_brute_force(spark, monkeypatch, parts):
-    monkeypatch.setattr(op, "CHUNK", 20_000)
+    monkeypatch.setattr(op, "CHUNK", 300)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, ctx string, base int").repartition(parts)
     assert result(docs) == sorted(brute(rows), key=str)
