@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from delaylake.llm._common import cut, private, slices, words_of
 
-CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_WORDS = 2048, 25_000, 8, 250_000
+CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_WORDS = 2048, 25_000, 8, 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, part long, released boolean"
 
