@@ -6,9 +6,11 @@ histograms of a document - character classes, and common words with one bin for
 the same histograms of every language, gathered over all documents with a language. Distances
 are Jensen-Shannon distances (base 2, 0 to 1); the nearest language by their sum counts. A
 common word is one that makes up at least ``COMMON`` of a language's words, so there are at most
-1 / COMMON for each; languages with less than ``COMMON`` of all words give no reference. A
-document fails where a distance passes its threshold, which narrows with the document's length,
-and the document has the minimum length of that histogram; a shorter one is not judged by it.
+1 / COMMON for each. Every language with a word gives a reference, however small its share of all
+words. A document fails where a distance passes its threshold, which narrows with the document's
+length, and the document has the minimum length of that histogram; a shorter one is not judged by
+it. Nor is a document that names a language of fewer than ``STABLE`` words: too few for a histogram
+to fail it by.
 
 A null text has no words. Without any reference only the base rules judge. Repeated rows are
 judged alike. An empty table gives an empty result; further columns are ignored.
@@ -28,6 +30,10 @@ from delaylake.llm._common import cut, private, segment_sums, slices, texts_byte
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 0.30, 8
 COMMON, FLUSH = 0.001, 100_000
+#: Words from which a language's histogram is stable: its rarest common word is then seen ten times.
+STABLE = 10_000
+#: Pairs of a filled bin and a language that are worked on at once.
+PAIRS = 1 << 20
 #: Shortest documents that each histogram judges, in characters and words.
 MIN_CHARS, MIN_COMMON_WORDS = 150, 30
 #: Largest distance a + b / sqrt(n): a histogram of n draws strays from its source by about 1 / sqrt(n).
@@ -57,8 +63,12 @@ def _class_table() -> np.ndarray:
 class Reference(NamedTuple):
     langs: list[str]
     words: dict[str, int]
-    word_share: np.ndarray  # langs x (words + 1), the last bin is the rest
+    word_at: np.ndarray  # words + 1 offsets into word_lang and word_share
+    word_lang: np.ndarray  # languages that hold the word, and its share of theirs
+    word_share: np.ndarray
+    rest_share: np.ndarray  # langs
     class_share: np.ndarray  # langs x CLASSES
+    few: frozenset[str]  # languages of fewer than STABLE words
 
 
 def class_counts(texts: pa.Array) -> np.ndarray:
@@ -110,27 +120,59 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
     counts = cut(rows.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     is_class = F.col("word").startswith(" ")
     totals = counts.filter(~is_class).groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = cut(totals, "totals")
-    least = COMMON * (totals.agg(F.sum("total").alias("n")).first()["n"] or 0)
-    large = totals.filter(F.col("total") >= least)
-    total = {r["lang"]: r["total"] for r in large.collect()}  # at most 1 / COMMON languages
+    total = {r["lang"]: r["total"] for r in cut(totals, "totals").collect()}  # one row a language
     if not total:
         return None
-    of_large = counts.join(F.broadcast(large), "lang")
-    common = of_large.filter(~is_class & (F.col("word") != "") & (F.col("n") >= COMMON * F.col("total"))).select("word").distinct()
-    # at most 1 / COMMON words a language
-    shares = of_large.join(F.broadcast(common), "word").collect()
-    classes = of_large.filter(is_class).collect()
-    langs, words = sorted(total), sorted({r["word"] for r in shares})
-    place, row = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(langs)}
-    word_share, class_share = np.zeros((len(langs), len(words) + 1)), np.zeros((len(langs), CLASSES))
-    for r in shares:
-        word_share[row[r["lang"]], place[r["word"]]] = r["n"] / r["total"]
-    word_share[:, -1] = np.maximum(0, 1 - word_share.sum(1))
+    common = counts.filter(~is_class & (F.col("word") != "")).join(F.broadcast(totals), "lang").filter(F.col("n") >= COMMON * F.col("total")).select("word").distinct()
+    # at most 1 / COMMON words a language; only the pairs that occur
+    shares = counts.filter(~is_class).join(F.broadcast(common), "word").select("lang", "word", "n").toArrow()
+    classes = counts.filter(is_class).collect()
+    langs = sorted(total)
+    row, size = {x: i for i, x in enumerate(langs)}, np.array([total[x] for x in langs], float)
+    coded = [shares.column(c).combine_chunks().dictionary_encode() for c in ("lang", "word")]
+    words = sorted(coded[1].dictionary.to_pylist())
+    place = {w: i for i, w in enumerate(words)}
+    owner, bins = (
+        np.array([of[x] for x in c.dictionary.to_pylist()], np.int64)[c.indices.to_numpy()] for of, c in zip((row, place), coded, strict=True)
+    )
+    share = shares.column("n").to_numpy() / size[owner]
+    order = np.lexsort((owner, bins))
+    word_at = np.concatenate(([0], np.cumsum(np.bincount(bins, minlength=len(words)))))
+    rest_share = np.maximum(0, 1 - np.bincount(owner, share, len(langs)))
+    class_share = np.zeros((len(langs), CLASSES))
     for r in classes:
-        class_share[row[r["lang"]], int(r["word"])] = r["n"]
+        if r["lang"] in row:
+            class_share[row[r["lang"]], int(r["word"])] = r["n"]
     class_share /= np.maximum(class_share.sum(1, keepdims=True), 1)
-    return Reference(langs, place, word_share, class_share)
+    few = frozenset(x for x, n in total.items() if n < STABLE)
+    return Reference(langs, place, word_at, owner[order].astype(np.int32), share[order], rest_share, class_share, few)
+
+
+def word_distances(owner: np.ndarray, bins: np.ndarray, share: np.ndarray, number: int, reference: Reference) -> np.ndarray:
+    """``js_distances`` to the word histograms, over the languages that hold each bin only."""
+    langs, rest = len(reference.langs), len(reference.words)
+    inside = bins < rest
+    # a bin that one side alone fills adds half of that side's share
+    out = np.full(number * langs, 2.0)
+    p, q = np.bincount(owner[~inside], share[~inside], number)[:, None], reference.rest_share[None, :]
+    out += _common_part(p, q).ravel()
+    owner, bins, share = owner[inside], bins[inside], share[inside]
+    times = reference.word_at[bins + 1] - reference.word_at[bins]
+    edges = np.unique(np.concatenate(([0], np.searchsorted(np.cumsum(times), np.arange(PAIRS, int(times.sum()), PAIRS)) + 1, [len(times)])))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        few = times[a:b]
+        first = np.repeat(reference.word_at[bins[a:b]] - (np.cumsum(few) - few), few)
+        pair = first + np.arange(len(first))
+        part = _common_part(np.repeat(share[a:b], few), reference.word_share[pair])
+        out += np.bincount(np.repeat(owner[a:b], few) * langs + reference.word_lang[pair], part, number * langs)
+    return np.sqrt(np.clip(out / 2, 0, 1)).reshape(number, langs)
+
+
+def _common_part(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """p log(p / m) + q log(q / m) - p - q, which is 0 where one of them is."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        middle = (p + q) / 2
+        return np.where((p > 0) & (q > 0), p * np.log2(p / middle) + q * np.log2(q / middle) - p - q, 0)
 
 
 def js_distances(owner: np.ndarray, bins: np.ndarray, share: np.ndarray, number: int, reference: np.ndarray) -> np.ndarray:
@@ -215,11 +257,11 @@ def _score(reference: Reference | None):
                     place = np.array([reference.words.get(_folded(w), rest) for w in coded.dictionary.to_pylist()], np.int64)
                     key, times = np.unique(np.repeat(np.arange(number), n_words) * (rest + 1) + place[codes], return_counts=True)
                     owner = key // (rest + 1)
-                    word_d = js_distances(owner, key % (rest + 1), times / n_words[owner], number, reference.word_share)
+                    word_d = word_distances(owner, key % (rest + 1), times / n_words[owner], number, reference)
                     best = (class_d + word_d).argmin(1)
                     class_d, word_d = class_d[np.arange(number), best], word_d[np.arange(number), best]
                     far = ((length >= MIN_CHARS) & (class_d > limit(CLASS_LIMIT, length))) | ((n_words >= MIN_COMMON_WORDS) & (word_d > limit(WORD_LIMIT, n_words)))
-                    kept &= ~far
+                    kept &= ~far | np.array([x in reference.few for x in batch.column(2).to_pylist()], bool)
                     some = n_words > 0
                     nearest = np.where(some, np.array(reference.langs, object)[best], None)
                     by_class, by_word = np.where(some, class_d, None), np.where(some, word_d, None)
@@ -232,7 +274,7 @@ def _score(reference: Reference | None):
     return kernel
 
 
-def judge(docs: DataFrame, reference: Reference | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, reference: Reference | None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: the base counts, base_failed, kept, the nearest language and both distances."""
-    rows = private(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text).cast("string"))
+    rows = private(docs, doc_id=F.col(doc_id).cast("long"), text=F.col(text).cast("string"), lang=F.col(lang).cast("string"))
     return rows.mapInArrow(_score(reference), SCORED)

@@ -110,3 +110,58 @@ def test_kernels(texts):
     assert np.diff(offsets).tolist() == [w[0] for w in want]
     assert op.repeated_words(codes, offsets).tolist() == [w[4] for w in want]
     assert op.repeated_lines(column).tolist() == [w[3] for w in want]
+
+
+def small_language(rows=100):
+    """Many English documents and three of a language with less than COMMON of all words; the last names none."""
+    draw = np.random.default_rng(7)
+    text = lambda letter, n: " ".join(f"{letter}{w}" for w in draw.zipf(1.5, n) % 400)
+    small = [(i, text("s", 60), "sw" if i < 2 else None) for i in range(3)]
+    return small + [(10 + i, text("e", 1500), "en") for i in range(rows)]
+
+
+def test_small_language_has_a_reference(spark):
+    rows = small_language()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = op.references(docs)
+    assert found.langs == ["en", "sw"] and found.few == {"sw"} and "s1" in found.words
+    by = {r["doc_id"]: r for r in op.judge(docs, found).collect()}
+    assert not any(by[i]["base_failed"] for i in range(3))
+    assert [(by[i]["nearest"], by[i]["kept"]) for i in range(3)] == [("sw", True)] * 3
+    # as many documents of another language leave the verdict as it is
+    alone = docs.filter("doc_id < 12")
+    assert all(r["kept"] for r in op.judge(alone, op.references(alone)).filter("doc_id < 3").collect())
+
+
+def test_language_of_few_words_is_not_failed(spark):
+    docs = spark.createDataFrame(small_language(8) + [(500, " ".join(f"s{i}" for i in range(10_500)), "sw"), (501, "# $ % & " + " ".join(f"!{i}" for i in range(60)), "xx")], "doc_id long, text string, lang string")
+    found = op.references(docs)
+    assert found.few == {"xx"}
+    far = found._replace(rest_share=found.rest_share[:2], class_share=found.class_share[:2], langs=found.langs[:2], word_lang=found.word_lang[found.word_lang < 2], word_share=found.word_share[found.word_lang < 2])
+    at = np.concatenate(([0], np.cumsum([(found.word_lang[a:b] < 2).sum() for a, b in zip(found.word_at[:-1], found.word_at[1:], strict=True)])))
+    far = far._replace(word_at=at)
+    junk = docs.filter("doc_id = 501")
+    assert op.judge(junk, far).first()["kept"] and not op.judge(junk, far._replace(few=frozenset())).first()["kept"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from([3, 1 << 20]))
+def test_word_distances(seed, pairs):
+    draw = np.random.default_rng(seed)
+    langs, words, number = 4, 6, 5
+    dense = draw.integers(0, 3, (langs, words + 1)) * 1.0
+    dense[:, -1] += 1
+    dense /= dense.sum(1, keepdims=True)
+    bins, owner = np.nonzero(dense[:, :-1].T)
+    at = np.concatenate(([0], np.cumsum(np.bincount(bins, minlength=words))))
+    found = op.Reference(list("abcd"), {str(i): i for i in range(words)}, at, owner, dense.T[bins, owner], dense[:, -1], None, frozenset())
+    counts = draw.integers(0, 3, (number, words + 1))
+    who, what = np.nonzero(counts)
+    share = counts[who, what] / counts.sum(1)[who]
+    before, op.PAIRS = op.PAIRS, pairs
+    try:
+        got = op.word_distances(who, what, share, number, found)
+    finally:
+        op.PAIRS = before
+    full = counts.sum(1) > 0
+    assert np.allclose(got[full], op.js_distances(who, what, share, number, dense)[full], atol=1e-6)
