@@ -1,8 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut into sentences (line ends and ``.!?;`` before white space or the end), each is
-normalised (ASCII letters and digits in lower case, one blank between runs) and looked up in a
-table of known sentences, which gives the text a sequence of sentence identifiers; unknown
+A text is cut into pieces (line ends and ``.!?;`` before white space or the end), each is
+normalised (ASCII letters and digits in lower case, one blank between runs; comment marks go with
+that, ``dnl`` and ``rem`` at the start of a line too). A run of neighbouring pieces that no sentence
+mark and no blank line parts, wrapped lines or one line, is looked up in a table of known sentences;
+the leftmost and then longest run counts, by the number of its first piece. Blank lines may stand
+before the address in a sentence. This gives the text a sequence of sentence identifiers; unknown
 sentences leave no identifier. The sequence is matched from the left against the ordered rules,
 longer rules first, without overlap: a rule is a licence and the identifiers that must follow
 each other. The table is fixed and small, so it is part of the plan; the main path is DataFrame
@@ -14,6 +17,8 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +55,26 @@ RULES = (
 #: Every known sentence holds one of these, so a text without them has none.
 MARKS = ("licen", "permission", "redistribut", "copyright", "you ", "mozilla")
 END, GAP = r"[.!?;]+([ \t\n\x0B\f\r]|\z)", "[^A-Za-z0-9]+"
+#: Comment prefixes that are words.
+WORD_COMMENT = r"(?im)^[ \t]*(?:dnl|rem)(?=[ \t]|$)"
 
 
 def normalised(sentence: str) -> str:
-    import re
-
     return re.sub(GAP, " ", sentence).strip(" ").lower()
 
 
-def _sentences(text: Column) -> Column:
-    cut = F.split(F.regexp_replace(text, END, "\n"), "\n")
-    return F.transform(cut, lambda s: F.lower(F.trim(F.regexp_replace(s, GAP, " "))))
+def _pieces(text: Column) -> Column:
+    """The normalised pieces, a line each; a full stop ends those that a sentence mark ends."""
+    cut = F.split(F.regexp_replace(F.regexp_replace(text, WORD_COMMENT, ""), END, ".\n"), "\n")
+    return F.array_join(F.transform(cut, lambda s: F.concat(F.lower(F.trim(F.regexp_replace(s, GAP, " "))), F.when(s.endswith("."), ".").otherwise(""))), "\n")
+
+
+def _pattern(sentences) -> str:
+    """Every known sentence over the lines of ``_pieces``, longer ones first."""
+    keys = sorted({normalised(s) for _, s in sentences}, key=lambda k: (-len(k), k))
+    # one line end or blank between words; before an address also blank lines
+    wrapped = [re.sub(r" (https?\b)", r"[ \\n]+\1", k) for k in keys]
+    return r"(?<![^\n])(?:" + "|".join(re.sub(r" (?!\\n\])", r"[ \\n]", w) for w in wrapped) + r")(?![^.\n])"
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
@@ -70,9 +84,16 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     licences = F.create_map(*[F.lit(x) for licence, rule in rules for x in (rule, licence)])
     rows = private(docs, doc_id=F.col(doc_id), text=text_or_empty(text))
     marked = F.rlike("text", F.lit("(?i:" + "|".join(MARKS) + ")"))
-    found = F.filter(F.transform(_sentences(F.col("text")), lambda s, i: F.struct(i.alias("number"), known[s].alias("id"))), lambda x: x["id"].isNotNull())
-    none = F.array().cast("array<struct<number: int, id: string>>")
-    rows = rows.select("doc_id", F.when(marked, found).otherwise(none).alias("sentences"))
-    rows = rows.withColumn("sequence", F.array_join(F.transform("sentences", lambda x: x["id"]), ""))
+    rows = rows.select("doc_id", F.when(marked, _pieces(F.col("text"))).otherwise("").alias("pieces"))
+    pattern = F.lit(_pattern(sentences))
+    rows = rows.withColumn("found", F.regexp_extract_all("pieces", pattern, F.lit(0)))
+    ids = F.transform("found", lambda x: known[F.regexp_replace(x, r"[^a-z0-9]+", " ")])
+    # the number of a sentence is that of the line ends before it: those of the gaps and of the sentences so far
+    ends = lambda x: F.regexp_count(x, F.lit(r"\n"))
+    gaps = F.transform(F.split("pieces", _pattern(sentences)), ends)
+    steps = F.zip_with(F.slice(gaps, 1, F.size("found")), F.concat(F.array(F.lit(0)), F.transform("found", ends)), lambda g, f: g + f)
+    steps = F.slice(steps, 1, F.size("found"))
+    numbers = F.aggregate(steps, F.array().cast("array<int>"), lambda out, n: F.concat(out, F.array(n + F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)))))
+    rows = rows.select("doc_id", F.zip_with(numbers, ids, lambda n, i: F.struct(n.alias("number"), i.alias("id"))).alias("sentences"), F.array_join(ids, "").alias("sequence"))
     rows = rows.withColumn("rules", F.regexp_extract_all("sequence", F.lit("|".join(r for _, r in ordered)), 0))
     return rows.withColumn("licences", F.transform("rules", lambda r: licences[r]))

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from delaylake.llm import licenses as op
 
@@ -38,3 +39,50 @@ def test_table():
     names = [n for n, _ in op.SENTENCES]
     assert len(set(names)) == len(names) == len({op.normalised(s) for _, s in op.SENTENCES})
     assert all(set(r) <= set(names) for _, r in op.RULES) and len({r for _, r in op.RULES}) == len(op.RULES)
+
+
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+"""
+
+
+def wrapped(text, width, prefix=""):
+    return "\n".join(prefix + line for line in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+def commented(text, prefix):
+    return "\n".join((prefix + line).rstrip() for line in text.split("\n"))
+
+
+def scanned(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in op.scan_licenses(docs).collect()}
+    return [([(s["number"], s["id"]) for s in rows[i]["sentences"]], rows[i]["sequence"], rows[i]["licences"]) for i in range(len(texts))]
+
+
+def test_wrapped_notices(spark):
+    notices = {"MIT": "CD", "GPL-3.0-or-later": "JK", "BSD-3-Clause": "PQ"}
+    texts, want = [], []
+    for licence, rule in notices.items():
+        for prefix in ("", "# ", " * ", "// ", "dnl "):
+            texts.append(f"{prefix}Title\n" + f"\n{prefix.rstrip()}\n".join(wrapped(BY[x] + ("" if BY[x].endswith(":") else "."), 60, prefix) for x in rule))
+            want.append((rule, [licence]))
+    for prefix in ("", "# ", " * ", "REM "):
+        texts.append(commented(APACHE, prefix))
+        want.append(("FGH", ["Apache-2.0"]))
+    texts += [APACHE.replace("\n", "\r\n"), BY["E"] + "\n(the \"License\")", "Notes\nMIT.\n" + BY["A"] + "\nmore words", "Licensed under\n\nthe MIT License", "Licensed under. the MIT License", "Licensed under\nthe MIT\nLicense of old"]
+    want += [("FGH", ["Apache-2.0"]), ("F", []), ("A", ["MIT"]), ("", []), ("", []), ("", [])]
+    assert [x[1:] for x in scanned(spark, texts)] == want
+
+
+def test_numbers_of_wrapped_sentences(spark):
+    text = f"One. Two\n{wrapped(BY['P'], 40)}\n\n{BY['A']}.\n{wrapped(BY['B'], 12)}"
+    lines = wrapped(BY["P"], 40).count("\n")
+    assert scanned(spark, [text])[0][0] == [(2, "P"), (2 + lines + 2, "A"), (2 + lines + 3, "B")]
