@@ -5,7 +5,8 @@ normalised (ASCII letters and digits in lower case, one blank between runs; comm
 that, ``dnl`` and ``rem`` at the start of a line too). A run of neighbouring pieces that no sentence
 mark and no blank line parts, wrapped lines or one line, is looked up in a table of known sentences;
 the leftmost and then longest run counts, by the number of its first piece. Blank lines may stand
-before the address in a sentence. This gives the text a sequence of sentence identifiers; unknown
+before the address in a sentence, and a known sentence with a mark inside (``v. 2.0``) is the pieces
+that it yields, each after the other. This gives the text a sequence of sentence identifiers; unknown
 sentences leave no identifier. The sequence is matched from the left against the ordered rules,
 longer rules first, without overlap: a rule is a licence and the identifiers that must follow
 each other. The table is fixed and small, so it is part of the plan; the main path is DataFrame
@@ -59,8 +60,15 @@ END, GAP = r"[.!?;]+([ \t\n\x0B\f\r]|\z)", "[^A-Za-z0-9]+"
 WORD_COMMENT = r"(?im)^[ \t]*(?:dnl|rem)(?=[ \t]|$)"
 
 
+def _cut(sentence: str) -> list[str]:
+    """The normalised pieces that a known sentence yields where it stands in a text."""
+    parts = re.split(END.replace(r"\z", r"\Z").replace("(", "(?:"), sentence)
+    return [n for p in parts if (n := re.sub(GAP, " ", p).strip(" ").lower())]
+
+
 def normalised(sentence: str) -> str:
-    return re.sub(GAP, " ", sentence).strip(" ").lower()
+    """The first piece of a sentence; all of one that holds no sentence mark before white space."""
+    return next(iter(_cut(sentence)), "")
 
 
 def _pieces(text: Column) -> Column:
@@ -71,15 +79,19 @@ def _pieces(text: Column) -> Column:
 
 def _pattern(sentences) -> str:
     """Every known sentence over the lines of ``_pieces``, longer ones first."""
-    keys = sorted({normalised(s) for _, s in sentences}, key=lambda k: (-len(k), k))
-    # one line end or blank between words; before an address also blank lines
-    wrapped = [re.sub(r" (https?\b)", r"[ \\n]+\1", k) for k in keys]
-    return r"(?<![^\n])(?:" + "|".join(re.sub(r" (?!\\n\])", r"[ \\n]", w) for w in wrapped) + r")(?![^.\n])"
+    keys = sorted({tuple(_cut(s)) for _, s in sentences}, key=lambda k: (-len(" ".join(k)), k))
+    return r"(?<![^\n])(?:" + "|".join(r"\.\n\n?".join(map(_wrapped, k)) for k in keys) + r")(?![^.\n])"
+
+
+def _wrapped(piece: str) -> str:
+    """One line end or blank between words; before an address also blank lines."""
+    words = piece.split(" ")
+    return words[0] + "".join((r"[ \n]+" if w in ("http", "https") else r"[ \n]") + w for w in words[1:])
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
     """One row per document: doc_id, sentences (number and identifier of the known ones), sequence, rules and licences matched."""
-    known = F.create_map(*[F.lit(x) for name, s in sentences for x in (normalised(s), name)])
+    known = F.create_map(*[F.lit(x) for name, s in sentences for x in (" ".join(_cut(s)), name)])
     ordered = sorted(rules, key=lambda r: -len(r[1]))
     licences = F.create_map(*[F.lit(x) for licence, rule in rules for x in (rule, licence)])
     rows = private(docs, doc_id=F.col(doc_id), text=text_or_empty(text))

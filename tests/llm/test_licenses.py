@@ -86,3 +86,21 @@ def test_numbers_of_wrapped_sentences(spark):
     text = f"One. Two\n{wrapped(BY['P'], 40)}\n\n{BY['A']}.\n{wrapped(BY['B'], 12)}"
     lines = wrapped(BY["P"], 40).count("\n")
     assert scanned(spark, [text])[0][0] == [(2, "P"), (2 + lines + 2, "A"), (2 + lines + 3, "B")]
+
+
+def test_whole_table_is_found(spark):
+    """Every sentence and rule, on one line each and wrapped."""
+    texts, want = [], []
+    for rule, licence in [(n, None) for n, _ in op.SENTENCES] + [(r, name) for name, r in op.RULES]:
+        for width in (10_000, 50):
+            texts.append("\n\n".join(wrapped(BY[x] + ("" if BY[x].endswith(":") else "."), width) for x in rule))
+            want.append((rule, licence))
+    got = scanned(spark, texts)
+    assert [x[1] for x in got] == [r for r, _ in want]
+    assert all(x[2] == [name] for x, (_, name) in zip(got, want, strict=True) if name)
+
+
+def test_mozilla_header(spark):
+    header = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    texts = [header, commented(header, " * "), header.replace("v. 2.0", "v.\n2.0"), header.replace("v. 2.0", "v. 3.0")]
+    assert [x[1:] for x in scanned(spark, texts)] == [("RS", ["MPL-2.0"])] * 3 + [("S", [])]
