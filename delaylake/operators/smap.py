@@ -38,7 +38,8 @@ def total_least_squares(c: np.ndarray, n: int) -> tuple[np.ndarray, int, int]:
     """
     m, width = c.shape
     outputs = width - n
-    _, s, vt = np.linalg.svd(c, full_matrices=True)
+    # the left vectors of a long library are not needed whole
+    _, s, vt = np.linalg.svd(c, full_matrices=m < width)
     s = np.concatenate((s, np.zeros(width - len(s))))
     bound = np.sqrt(2.0 * max(m, width)) * TOL_RANK
     rank, warning = min(int((s > bound).sum()), min(m, n)), 0

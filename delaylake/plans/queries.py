@@ -522,14 +522,8 @@ def log_predicted(spark, sf_dir):
 # ---------------------------------------------------------------- S-maps
 
 
-def _monthly(spark, sf_dir) -> TimeSeries:
-    """Price volume by ten days: short, as a whole-library map needs a solution for each pair of target and theta."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.floor(F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")) / 10).alias("dt"), "l_extendedprice")
-    return TimeSeries.from_dataframe(lines.groupBy("dt").agg((F.round(F.sum("l_extendedprice"), 2) / 1000.0).alias("x")), ["x"], order=["dt"])
-
-
 def _map(spark, sf_dir, predictor, text: str = SHORT) -> Run:
-    return traverse(_monthly(spark, sf_dir), parse_lags(text), predictor)
+    return _daily_run(spark, sf_dir, predictor, text)
 
 
 def _tls(run: Run) -> DataFrame:
@@ -563,6 +557,17 @@ def tls_status(spark, sf_dir):
     return run.predictions.groupBy("params_id", "status").agg(F.count("*").alias("n"))
 
 
+@query()
+def tls_knn_panel(spark, sf_dir):
+    return _tls(traverse(panel(spark, sf_dir), parse_lags(SHORT), SMap((0.0, 1.0), nnn=20)))
+
+
+@query()
+def tls_status_panel(spark, sf_dir):
+    run = traverse(panel(spark, sf_dir), parse_lags(SHORT), SMap((0.0, 4.0), nnn=2, restrict=1e4))
+    return run.predictions.groupBy("params_id", "status").agg(F.count("*").alias("n"))
+
+
 @query()
 def tls_coefficients(spark, sf_dir):
     run = _map(spark, sf_dir, SMap((0.0,)))

@@ -240,3 +240,13 @@ def test_every_level_of_the_log(spark, tmp_path):
 def test_same_variable_exclusion():
     d = parse_lags("x,0,1;y,0:x,-1")[0]
     assert co_variables(d) == (0, 0, 1)
+
+
+def test_maps_run_on_the_daily_series(spark, sf):
+    from delaylake.plans import queries as q
+
+    want = q.QUERIES["simplex_min"](spark, sf).select("target_num").distinct().count()
+    got = q.QUERIES["tls_knn"](spark, sf).select("target_num").distinct().count()
+    assert got > 0.9 * want
+    panel = q.QUERIES["tls_status_panel"](spark, sf).groupBy().sum("n").first()[0]
+    assert panel > 1000
