@@ -54,7 +54,6 @@ def numbered(df: DataFrame, order: list, name: str, label: str = "numbered") ->
 def positions(df: DataFrame, groups: list[str], order: list, name: str, size: str | None = None) -> DataFrame:
     """``df`` with places 0, 1, ... inside each group (nulls equal) in ``order``, and the group's size; no group is one task's."""
     ranked = numbered(df, [*groups, *order], "_rank", "positions")
-    ranked = cut(ranked, "ranked")
     spans = cut(ranked.groupBy(*groups).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_count")), "spans")
     out = null_safe(ranked, spans, groups, "inner").withColumn(name, F.col("_rank") - F.col("_first"))
     if size:
