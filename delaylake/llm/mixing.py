@@ -17,7 +17,6 @@ their number is checked.
 
 from __future__ import annotations
 
-import heapq
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +26,8 @@ from delaylake.llm._common import cut
 
 WEIGHTS, MAX_REPEAT, SEED, DOCS_PER_BUCKET, MAX_BUCKETS = (5, 2, 1), 3, 20_240, 256, 65_536
 MAX_PATTERNS, BROADCAST_PATTERNS, SUBSET = 200_000, 10_000, 64
+#: Sums of the last documents are told apart down to this part of the rest.
+UNITS = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,55 +56,95 @@ def water_fill(sizes: list[int], weights: list[float], most: float) -> list[floa
 
 
 def route(capacity: list[int], members: list[list[int]], quota: list[int], most: int) -> dict[tuple[int, int], int]:
-    """Words from pattern to source by successive cheapest paths.
+    """Words from pattern to source at least cost: as many as quotas allow, the k-th repetition at 2k - 1 a word.
 
-    Nodes: start -> source (quota) -> pattern (any amount) -> end (``most`` edges of the
-    pattern's capacity at costs 1, 3, 5, ...).
+    Nodes: start -> source (quota) -> pattern (any amount) -> end (``most`` edges of the pattern's
+    capacity at costs 1, 3, 5, ...). Only the last edges cost, so a path costs what its last one
+    does: cheapest paths first means all paths over first repetitions, then over second ones, and
+    so on. Each of these steps is a maximal flow by blocking flows along shortest paths.
     """
     n, p = len(quota), len(capacity)
-    start, end = n + p, n + p + 1
-    to, room, cost, at = [], [], [], [[] for _ in range(n + p + 2)]
-
-    def edge(a: int, b: int, most_: int, price: int) -> None:
-        for x, y, r, c in ((a, b, most_, price), (b, a, 0, -price)):
-            at[x].append(len(to))
-            to.append(y)
-            room.append(r)
-            cost.append(c)
-
-    for s in range(n):
-        edge(start, s, quota[s], 0)
-    arcs = {}
+    holds: list[list[int]] = [[] for _ in range(n)]
     for i, sources in enumerate(members):
         for s in sources:
-            arcs[i, s] = len(to)
-            edge(s, n + i, sum(quota), 0)
-        for k in range(most):
-            edge(n + i, end, capacity[i], 2 * k + 1)
-    height = [0] * (n + p + 2)
-    while True:
-        far, via, heap = {start: 0}, {}, [(0, start)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
+            holds[s].append(i)
+    left, flow = list(quota), [dict.fromkeys(sources, 0) for sources in members]
+    for _ in range(most):
+        room = list(capacity)
+        while True:
+            # levels of sources and patterns from the sources with words left
+            level_s, level_p = [-1] * n, [-1] * p
+            front, depth, reached = [s for s in range(n) if left[s]], 0, False
+            for s in front:
+                level_s[s] = 0
+            while front and not reached:
+                touched = []
+                for s in front:
+                    for i in holds[s]:
+                        if level_p[i] < 0:
+                            level_p[i] = depth + 1
+                            touched.append(i)
+                            reached |= room[i] > 0
+                depth += 2
+                front = []
+                if not reached:
+                    for i in touched:
+                        for s, words in flow[i].items():
+                            if words and level_s[s] < 0:
+                                level_s[s] = depth
+                                front.append(s)
+            if not reached:
+                break
+            at_s, back = [0] * n, [None] * p
+            for first in range(n):
+                while level_s[first] == 0 and left[first]:
+                    path = _path(first, holds, flow, room, level_s, level_p, at_s, back)
+                    if path is None:
+                        break
+                    # source, pattern, source, ..., pattern: words go in at even steps and come back at odd ones
+                    amount = min(left[first], room[path[-1]], *(flow[path[j]][path[j + 1]] for j in range(1, len(path) - 1, 2)))
+                    left[first] -= amount
+                    room[path[-1]] -= amount
+                    for j in range(0, len(path) - 1):
+                        if j % 2 == 0:
+                            flow[path[j + 1]][path[j]] += amount
+                        else:
+                            flow[path[j]][path[j + 1]] -= amount
+    return {(i, s): words for i, to in enumerate(flow) for s, words in to.items() if words}
+
+
+def _path(first: int, holds, flow, room, level_s, level_p, at_s, back) -> list[int] | None:
+    """A path along levels from a source to a pattern with room, dead ends passed over for good."""
+    path = [first]
+    while path:
+        here = path[-1]
+        if len(path) % 2:  # a source
+            step = next_ = None
+            while at_s[here] < len(holds[here]):
+                next_ = holds[here][at_s[here]]
+                if level_p[next_] == level_s[here] + 1:
+                    step = next_
+                    break
+                at_s[here] += 1
+            if step is None:
+                path.pop()
+                if path:
+                    back[path[-1]].pop()  # the way back to this source is spent
                 continue
-            for e in at[x]:
-                y = to[e]
-                if room[e] and (new := d + cost[e] + height[x] - height[y]) < far.get(y, 1 << 60):
-                    far[y], via[y] = new, e
-                    heapq.heappush(heap, (new, y))
-        if end not in far:
-            return {k: room[e ^ 1] for k, e in arcs.items() if room[e ^ 1]}
-        for x in range(n + p + 2):
-            height[x] += min(far.get(x, far[end]), far[end])
-        path, x = [], end
-        while x != start:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        amount = min(room[e] for e in path)
-        for e in path:
-            room[e] -= amount
-            room[e ^ 1] += amount
+            path.append(step)
+        else:
+            if room[here]:
+                return path
+            if back[here] is None:
+                back[here] = [s for s, _ in flow[here].items() if level_s[s] == level_p[here] + 1]
+            while back[here] and not flow[here][back[here][-1]]:
+                back[here].pop()
+            if back[here]:
+                path.append(back[here][-1])
+            else:
+                path.pop()
+                at_s[path[-1]] += 1
+    return None
 
 
 def _components(members: list[list[int]]) -> list[list[int]]:
@@ -219,6 +260,12 @@ def _fill(rows):
 
 def nearest_subset(sizes: list[int], goal: int) -> list[int]:
     """Places of a subset whose sum is nearest to ``goal``, the smaller sum on ties."""
+    if goal >= sum(sizes):
+        return [i for i, size in enumerate(sizes) if size]
+    # sums are kept in units that bound the memory, whatever the sizes
+    unit = 1 + min(goal, sum(sizes)) // UNITS
+    if unit > 1:
+        return nearest_subset([round(x / unit) for x in sizes], round(goal / unit))
     within = (1 << (2 * goal + 1)) - 1
     reach = [1]  # bit n: some subset of the first sizes sums to n
     for size in sizes:
@@ -257,8 +304,13 @@ def mix(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "t
 
 
 def mixed_rows(docs: DataFrame, sources: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, repeated as often, with their own columns."""
-    rows = sized(docs, sources, doc_id, text)
+    """The rows of ``docs`` that the mix takes, repeated as often, with all their columns, of whatever names.
+
+    Rows without words (null and empty texts) and rows of no source are not taken; equal rows (id and
+    text) are taken equally often. An empty table gives an empty result.
+    """
+    whole = docs.select(F.struct("*").alias("whole"), F.col(doc_id).alias("id"), F.col(text).alias("body"), sources.alias("held"))
+    rows = sized(whole, F.col("held"), "id", "body")
     made = plan(cut(rows.select("_sources", "_pattern", "_size", "_key"), "sized"))
     out = repeats(rows, made).filter("_repeats > 0 and _size > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    return out.select("whole", F.explode(F.sequence(F.lit(1), F.col("_repeats"))).alias("_copy")).select("whole.*")

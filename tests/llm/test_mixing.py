@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 import pytest
@@ -59,7 +60,36 @@ def test_route_is_cheapest(capacity, members, quota):
             part = min(a, c)
             price += part * (2 * k + 1)
             a -= part
-    assert (-sum(flow.values()), price) == cheapest(capacity, members, quota, 3)
+    assert (-sum(flow.values()), price) == (cheapest(capacity, members, quota, 3) or (0, 0))
+
+
+def test_route_of_random_sources():
+    rng = random.Random(4)
+    for _ in range(80):
+        sources = rng.randint(1, 2)
+        members = [sorted(rng.sample(range(sources), rng.randint(1, sources))) for _ in range(rng.randint(1, 3))]
+        test_route_is_cheapest([rng.randint(0, 3) for _ in members], members, [rng.randint(0, 4) for _ in range(sources)])
+
+
+def test_route_of_many_patterns():
+    rng = random.Random(1)
+    members = [sorted(rng.sample(range(300), rng.randint(1, 6))) for _ in range(20_000)]
+    capacity = [rng.randint(1, 10**6) for _ in members]
+    quota = [sum(capacity) // 300] * 300
+    flow = op.route(capacity, members, quota, 3)
+    assert sum(flow.values()) == sum(quota) and min(flow.values()) > 0
+    by = [0] * 300
+    for (i, s), words in flow.items():
+        assert s in members[i]
+        by[s] += words
+    assert by == quota
+
+
+def test_subsets_of_large_sizes_stay_small():
+    sizes = [10**8 + 7 * i for i in range(op.SUBSET)]
+    goal = 30 * 10**8
+    assert abs(sum(sizes[i] for i in op.nearest_subset(sizes, goal)) - goal) <= 10**-4 * goal
+    assert op.nearest_subset([5, 0, 7], 10**12) == [0, 2]
 
 
 def test_overlapping_sources(spark):
