@@ -8,12 +8,14 @@ bins too, fewer of them, as the bound was rounded up. Exchanged documents of sev
 together by best-fit decreasing, certified again, and so on until no gap is left or all that is
 left has met in one place. An exchange that would not save a bin is undone.
 
-A null text counts as empty: it is the one token 0. Repeated rows are packed as they come.
+A null text counts as empty: it is the one token 0. Repeated rows are packed as they come, dealt
+by their place in the written pieces, so that any number of equal rows is spread over all parts.
 An empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -37,6 +39,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The normalizer and pre-tokenizer that the word rules below are written for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _by_words(path: str) -> bool:
+    """Whether the file's rules are the ones above, under which words can be coded one by one."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    added = all("<|" in t["content"] and not t["lstrip"] and not t["rstrip"] for t in made["added_tokens"])
+    return added and made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER and not made["truncation"]
+
+
 def _tokenizer(path: str):
     """A function that gives the little-endian ids of each word.
 
@@ -83,22 +104,50 @@ def _tokenizer(path: str):
     return ids
 
 
+def _coded_words(path: str):
+    """Texts to their little-endian ids end to end, and offsets (n + 1), by words."""
+    ids = _tokenizer(path)
+
+    def code(texts: pa.Array) -> tuple[bytes, list[int]]:
+        offsets, words = words_of(texts)
+        coded = words.dictionary_encode()
+        table = ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[codes])))
+        place = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes[codes])
+        return flat[place].tobytes(), ends[offsets].tolist()
+
+    return code
+
+
+def _coded_texts(path: str):
+    """The same by whole texts."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+
+    def code(texts: pa.Array) -> tuple[bytes, list[int]]:
+        ids = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+        return b"".join(x.tobytes() for x in ids), np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(int).tolist()
+
+    return code
+
+
 def _pieces(path: str, capacity: int):
-    """(doc_id, text) to pieces. No rule of the tokenizer reaches over white space, so words are looked up."""
+    """(doc_id, text) to pieces.
+
+    Where no rule of the tokenizer reaches over white space, words are looked up; a file with other
+    rules codes whole texts.
+    """
 
     def kernel(batches):
-        ids = _tokenizer(path)
+        code = _coded_words(path) if _by_words(path) else _coded_texts(path)
         for whole in batches:
-            for batch in slices(whole, most=4 << 20):
-                offsets, words = words_of(batch.column(1))
-                coded = words.dictionary_encode()
-                table = ids(coded.dictionary.to_pylist())
-                sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-                flat, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
-                codes = coded.indices.to_numpy()
-                ends = np.concatenate(([0], np.cumsum(sizes[codes])))
-                place = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes[codes])
-                tokens, bounds = flat[place].tobytes(), ends[offsets].tolist()
+            for batch in slices(whole, most=1 << 20):
+                tokens, bounds = code(batch.column(1))
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for i, doc in enumerate(batch.column(0).to_pylist()):
                     text = tokens[4 * bounds[i] : 4 * bounds[i + 1]] + b"\0\0\0\0"
@@ -191,7 +240,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     pieces = cut(pieces, "pieces")
     parts = -(-pieces.count() // PIECES_PER_PART) or 1
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
+    # the place in the written pieces parts equal rows, too
+    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts))
     packed = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "part": deal})
     packed = cut(packed.groupBy("part").applyInPandas(_pack(capacity, 0), PACKED), "packed")
     done, level = packed.filter("not released"), 0

@@ -54,6 +54,45 @@ def test_empty(spark):
     assert packing.pack_documents(docs, vocabulary()).count() == 0
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_PER_PART", 500)
+    sizes, pack = [], packing._pack
+
+    def spied(capacity, level):
+        kernel = pack(capacity, level)
+
+        def one(key, rows):
+            assert len(rows) < 1000 or level
+            return kernel(key, rows)
+
+        sizes.append(level)
+        return one
+
+    monkeypatch.setattr(packing, "_pack", spied)
+    pieces = spark.range(20_000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "600L as length", "5L as ids_crc32")
+    rows = packing.pack(pieces).collect()
+    assert sizes and len(rows) == 20_000
+    assert check_places(rows, 2048) <= -(-20_000 // 3) + len(sizes)
+
+
+def test_other_vocabularies_code_whole_texts(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    made = json.load(open(vocabulary(), encoding="utf-8"))
+    assert packing._by_words(vocabulary())
+    made["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made), encoding="utf-8")
+    assert not packing._by_words(str(path))
+    docs = spark.createDataFrame([(1, "Some Words, HERE"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids_crc32"] for r in packing.pack_documents(docs, str(path)).collect()}
+    for i, t in ((1, "Some Words, HERE"), (2, "")):
+        ids = [*Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids, 0]
+        assert got[i] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_exchange_reaches_the_bound(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_PER_PART", 20)
     rng = np.random.default_rng(1)
