@@ -13,8 +13,9 @@ text of one to four words has one shingle, all its words; one without words has
    links and, by connected components, its class.
 
 Buckets and cells of any size are cut into blocks, and pairs of blocks are dealt over tasks;
-a task emits a row for each document that it holds, never pairs. Copies are counted, not
-expanded. Rows with a repeated or null doc_id are documents of their own. An empty table gives
+a task emits a row for each document that it holds, never pairs. Blocks grow with the group (from
+``BLOCK`` to ``MOST_BLOCK`` rows), so a row of a group of n goes to at most max(64, n / MOST_BLOCK)
+pairs. Copies are counted, not expanded. Rows with a repeated or null doc_id are documents of their own. An empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delaylake.llm._common import cut, partitions, slices, words_of
@@ -34,7 +35,7 @@ from delaylake.llm.suffix_dedup import numbered
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 30, 4, 12, 1e-6
-BLOCK, BLOCK_BYTES, PAIRS = 256, 16 << 20, 400_000
+BLOCK, MOST_BLOCK, BLOCK_BYTES, PAIRS, TILE = 256, 1024, 8 << 20, 400_000, 1024
 HASHES = BANDS * ROWS
 _SEEDS = np.random.default_rng(97).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -53,8 +54,8 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
     flat = names[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.uint64)
     out = []
     runs = flat.copy()
-    for k in range(1, SHINGLE):
-        runs[: len(flat) - k] = _mixed(runs[: len(flat) - k] * _A + flat[k:] * _B) if k < len(flat) else runs[:0]
+    for k in range(1, min(SHINGLE, len(flat))):
+        runs[: len(flat) - k] = _mixed(runs[: len(flat) - k] * _A + flat[k:] * _B)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
             out.append(np.unique(runs[a : b - SHINGLE + 1]))
@@ -121,19 +122,21 @@ def _pairs(bounds: np.ndarray, one: np.ndarray, side: np.ndarray):
     """Pairs of rows of each group, in portions: all pairs where a block meets itself (``one``), else those across."""
     first, second, held = [], [], 0
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if not one[a]:
-            rows = np.arange(a, b)
-            left_rows, right_rows = rows[side[a:b] == 0], rows[side[a:b] == 1]
-            x, y = np.repeat(left_rows, len(right_rows)), np.tile(right_rows, len(left_rows))
-        else:
-            x, y = np.triu_indices(b - a, 1)
-            x, y = x + a, y + a
-        first.append(x)
-        second.append(y)
-        held += len(x)
-        if held > PAIRS:
-            yield np.concatenate(first), np.concatenate(second)
-            first, second, held = [], [], 0
+        rows = np.arange(a, b)
+        left = rows if one[a] else rows[side[a:b] == 0]
+        right = rows if one[a] else rows[side[a:b] == 1]
+        step = max(1, PAIRS // max(1, len(right)))
+        for at in range(0, len(left), step):
+            part = left[at : at + step]
+            x, y = np.repeat(part, len(right)), np.tile(right, len(part))
+            if one[a]:
+                x, y = x[x < y], y[x < y]
+            first.append(x)
+            second.append(y)
+            held += len(x)
+            if held >= PAIRS:
+                yield np.concatenate(first), np.concatenate(second)
+                first, second, held = [], [], 0
     if held:
         yield np.concatenate(first), np.concatenate(second)
 
@@ -213,12 +216,14 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     shared = times[code] > 1
     code, owner = code[shared], owner[shared]
     names, code = np.unique(code, return_inverse=True)
-    out = np.zeros((len(left), len(right)), np.int64)
-    for at in range(0, len(names), 4096):
-        part = (code >= at) & (code < at + 4096)
-        matrix = np.zeros((len(sizes), min(4096, len(names) - at)), np.float32)
-        matrix[owner[part], code[part] - at] = 1
-        out += (matrix[: len(left)] @ matrix[len(left) :].T).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.int32)
+    for at in range(0, len(names), TILE):
+        a, b = np.searchsorted(code, (at, at + TILE))
+        matrix = np.zeros((len(sizes), TILE), np.float32)
+        matrix[owner[a:b], code[a:b] - at] = 1
+        out += (matrix[: len(left)] @ matrix[len(left) :].T).astype(np.int32)
     return out
 
 
@@ -248,7 +253,12 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[label]), pa.array(links)], names=["u", "v", "links"])
 
 
-def _dealt(rows: DataFrame, key: str, blocks, extra: list[str]) -> DataFrame:
+def _blocks(n: Column) -> Column:
+    """The number of blocks of a group of n rows."""
+    return F.ceil(n / F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), n / 64)))
+
+
+def _dealt(rows: DataFrame, key: str, blocks: Column, extra: list[str]) -> DataFrame:
     """Rows of each key in ``blocks`` blocks, sent to every pair of blocks (i <= j) with their own."""
     own = F.pmod(F.xxhash64("rep"), F.col("_blocks"))
     rows = rows.withColumn("_blocks", blocks).withColumn("_own", own)
@@ -272,12 +282,12 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = banded.join(buckets, "band")
     members = members.join(sketch.select(F.col("doc").alias("rep"), "values"), "rep")
-    dealt = _dealt(members, "band", F.ceil(F.col("n") / BLOCK), ["values"])
+    dealt = _dealt(members, "band", _blocks(F.col("n")), ["values"])
     cells = cut(components(cut(dealt.mapInArrow(_prune, "u long, v long"), "candidates")), "cells")
     # Exact verification: cells in blocks bounded in documents and bytes.
     texts = rows.select("doc", "text").join(cells.withColumnRenamed("node", "doc"), "doc").select(F.col("doc").alias("rep"), "text", F.col("label").alias("cell"))
     texts = cut(texts.join(sets.select("rep", "docs"), "rep"), "texts")
-    size = cut(texts.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("b")), "size")
+    size = cut(texts.groupBy("cell").agg(F.greatest(_blocks(F.count(F.lit(1))), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("b")), "size")
     dealt = _dealt(texts.join(size, "cell"), "cell", F.greatest("b", F.lit(1)).cast("long"), ["docs", "text"])
     found = cut(dealt.mapInArrow(_verify, "u long, v long, links long"), "verified")
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
@@ -290,12 +300,16 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that have a smaller document in their class."""
-    if docs.groupBy(doc_id).count().filter("count > 1").isEmpty():
-        found = jaccard_classes(docs, doc_id, text)
-        dropped = cut(found.filter("doc <> class_id").select(F.col("doc_id").alias("_id")), "dropped")
-        return docs.join(dropped, docs[doc_id].eqNullSafe(dropped["_id"]), "left_anti")
-    # ids that repeat cannot name rows: the rows are written once with numbers of their own
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    kept = cut(jaccard_classes(rows, "_row", text).filter("doc = class_id").select(F.col("doc_id").alias("_row")), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` without those that have a smaller document in their class, with all their columns, of whatever names.
+
+    A text without words has no link, so its row stays. Where ids repeat or are null a row is named by
+    its place in a written copy of ``docs`` instead, so of repeated rows one stays. An empty table gives
+    an empty result.
+    """
+    rows = docs.select(F.struct("*").alias("whole"), F.col(doc_id).alias("id"), F.col(text).cast("string").alias("body"))
+    if not rows.groupBy("id").count().filter("count > 1 or id is null").isEmpty():
+        placed = cut(rows.orderBy(F.col("id").asc_nulls_first()).withColumn("place", F.monotonically_increasing_id()), "rows")
+        rows = placed.select("whole", F.col("place").alias("id"), "body")
+    found = jaccard_classes(rows, "id", "body")
+    dropped = cut(found.filter("doc <> class_id").select(F.col("doc_id").alias("dropped_id")), "dropped")
+    return rows.join(dropped, F.col("id") == F.col("dropped_id"), "left_anti").select("whole.*")

@@ -81,6 +81,21 @@ def test_query(spark, sf):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in op6_jaccard_join(spark, sf).collect()} == brute(rows)
 
 
+def test_recall_against_exact_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in op.jaccard_classes(docs).collect()}
+    linked = sum(n for _, n in want.values())
+    assert linked > 100 and sum(n for _, n in got.values()) == linked and got == want
+
+
+def test_portions_of_pairs(monkeypatch):
+    monkeypatch.setattr(op, "PAIRS", 7)
+    one, side = np.array([True] * 6 + [False] * 9), np.array([0] * 6 + [0, 0, 1, 1, 1, 1, 1, 0, 1])
+    made = [p for x, y in op._pairs(np.array([0, 6, 15]), one, side) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert sorted(made) == sorted([(a, b) for a in range(6) for b in range(a + 1, 6)] + [(a, b) for a in (6, 7, 13) for b in (8, 9, 10, 11, 12, 14)])
+
+
 def test_one_of_each_class(spark):
     rows = corpus(80, 9)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
