@@ -83,6 +83,13 @@ class CuckooIndex:
                 return True
         return False
 
+    def update(self, key: bytes, payload: tuple) -> bool:
+        """Give a live key a new payload; false where it is not live."""
+        if self.find(key) is None:
+            return False
+        self.content[self._places(key)[1]][key] = payload
+        return True
+
     def delete(self, key: bytes) -> bool:
         """Remove a live key; false where it is not live."""
         if self.find(key) is None:
@@ -156,8 +163,7 @@ def _index(batches):
                 index.delete(key)
                 index.insert(key, (doc, row, n + live[2]))
             else:
-                index.delete(key)
-                index.insert(key, (*live[:2], n + live[2]))
+                index.update(key, (*live[:2], n + live[2]))
     live = list(index.items())
     for at in range(0, len(live), 50_000):
         part = live[at : at + 50_000]
@@ -189,20 +195,16 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_last_copy(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    verdict = cut(exact_dedup(docs, doc_id, text), "verdict")
-    out = _semi(docs, doc_id, verdict.filter("kept").select(F.col("doc_id").alias("_id")))
-    repeated = verdict.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
-    if repeated.isEmpty():
-        return out
-    # Ids that occur more than once: their rows are matched by text, and one of each stays.
-    digest = F.sha2(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
-    kept = verdict.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    twice = _semi(docs, doc_id, repeated).withColumn("_digest", digest)
-    twice = twice.join(kept, (twice[doc_id].eqNullSafe(kept["_id"])) & (twice["_digest"] == kept["_digest"]), "left_semi")
-    once = out.join(repeated, out[doc_id].eqNullSafe(repeated["_id"]), "left_anti")
-    return once.unionByName(twice.dropDuplicates([doc_id, "_digest"]).drop("_digest"))
-
-
-def _semi(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, docs[doc_id].eqNullSafe(ids["_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns, of whatever names.
+
+    A null text counts as empty, a null id lies below all others. Where ids repeat (or are null more
+    than once) a row is named by its place in a written copy of ``docs`` instead, so of repeated rows
+    one stays. An empty table gives an empty result.
+    """
+    rows = docs.select(F.struct("*").alias("whole"), F.col(doc_id).alias("id"), F.col(text).cast("string").alias("body"))
+    if not rows.groupBy("id").count().filter("count > 1").isEmpty():
+        # the last of equal ids stays: places go by id, null first
+        placed = cut(rows.orderBy(F.col("id").asc_nulls_first()).withColumn("place", F.monotonically_increasing_id()), "rows")
+        rows = placed.select("whole", F.col("place").alias("id"), "body")
+    kept = cut(exact_dedup(rows, "id", "body").filter("kept").select(F.col("doc_id").alias("kept_id")), "kept")
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("whole.*")

@@ -50,7 +50,11 @@ def test_index_against_a_dict():
         if key in live and rng.random() < 0.4:
             assert index.delete(key)
             del live[key]
+        elif key in live and rng.random() < 0.5:
+            live[key] = (step, "new")
+            assert index.update(key, live[key])
         elif key not in live:
+            assert not index.update(key, (step,))
             assert index.find(key) is None and not index.delete(key)
             index.insert(key, (step,))
             live[key] = (step,)
