@@ -39,8 +39,11 @@ MIN_CHARS, MIN_COMMON_WORDS = 150, 30
 #: Largest distance a + b / sqrt(n): a histogram of n draws strays from its source by about 1 / sqrt(n).
 CLASS_LIMIT, WORD_LIMIT = (0.20, 1.8), (0.31, 1.6)
 EDGES = " \t\n\v\f\r.,;:!?\"'()[]{}<>*#$%&|=-_+/\\~`@^"
-#: Character classes: lower, upper, digit, blank, line end, sentence mark, symbol, control, other.
-CLASSES = 9
+#: Character classes of ASCII (lower, upper, digit, blank, line end, sentence mark, symbol, control), then
+#: beyond it by the block that a UTF-8 lead byte opens: Latin letters, Greek, Cyrillic and Armenian, Hebrew
+#: and Arabic, the scripts of U+0800 to U+1FFF, marks and symbols, kana, ideographs, Hangul, all further planes.
+CLASSES = 18
+BLOCKS = ((0xC3, 0xCB, 8), (0xCC, 0xCF, 9), (0xD0, 0xD5, 10), (0xD6, 0xDF, 11), (0xE0, 0xE1, 12), (0xE2, 0xE2, 13), (0xE3, 0xE3, 14), (0xE4, 0xE9, 15), (0xEA, 0xED, 16), (0xEE, 0xFF, 17))
 SCORED = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, nearest string, class_distance double, word_distance double"
@@ -56,7 +59,9 @@ def _class_table() -> np.ndarray:
     table[[10, 13]] = 4
     table[list(b".,;:!?'\"()-")] = 5
     table[48:58], table[65:91], table[97:123] = 2, 1, 0
-    table[128:192], table[192:] = -1, 8
+    table[128:192], table[192:0xC3] = -1, 13
+    for first, last, k in BLOCKS:
+        table[first : last + 1] = k
     return table
 
 
