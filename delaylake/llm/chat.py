@@ -1,12 +1,14 @@
 """Multi-party perspective rotation of dialogues.
 
 For every participant of a conversation the whole dialogue is rendered with that speaker as the
-assistant and all others as named users; the mask marks the assistant's own words. Narrators
+assistant and all others as named users; the masks mark what the assistant has to produce, its own
+words and the mark that ends its turn. Narrators
 (role ``system``) are rendered as such for everyone and get no perspective, nor does a null role,
 which is rendered as a user without a name.
 
-Turns are dealt into parts of ``PART`` consecutive turn numbers, and a row is one part from one
-perspective, so that no row or task gathers a conversation of unbounded length; parts in order
+Messages are dealt into parts of ``PART`` by their running place in the conversation, which comes from
+a range sort, and a row is one part from one perspective, so that no row or task gathers a
+conversation (or a turn number that very many messages share) of unbounded length; parts in order
 make up the dialogue. Equal rows (conversation, turn, role, text) are one message. Messages go
 by turn, then role and text, nulls first; a null text is empty. ``<|`` inside names and texts
 becomes ``< |``, so that marks stay unambiguous. An empty table gives an empty result, further
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from delaylake.functions.tables import positions
 from delaylake.llm._common import cut, private
 
 PART, NARRATORS, CLOSE = 256, ("system",), "<|end|>\n"
@@ -30,7 +33,8 @@ def _plain(value: Column) -> Column:
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part: int = PART, narrators=NARRATORS) -> DataFrame:
     """Rows (conv_id, perspective, part, n_messages, text, masks); masks are (start, end) code points, ends exclusive."""
     rows = private(turns, conv_id=F.col(conv_id), turn=F.col(turn).cast("long"), role=F.col(role).cast("string"), text=F.col(text).cast("string")).distinct()
-    parts = rows.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    placed = positions(rows, ["conv_id"], ["turn", "role", "text"], "place")
+    parts = placed.groupBy("conv_id", F.floor(F.col("place") / part).alias("part")).agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("messages"))
     speakers = rows.filter(F.col("role").isNotNull() & ~F.col("role").isin(*narrators)).select("conv_id", F.col("role").alias("perspective")).distinct()
     # both sides are written, so that a conversation of very many parts can be split in the join
     parts, speakers = cut(parts, "parts"), cut(speakers, "speakers")

@@ -19,7 +19,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_versions(_table(spark, sf_dir, "documents"), secrets.fresh_ledger(spark), "doc_id")
+    """All documents through one ledger in two deliveries of sources; the second scans only what the first has not seen."""
+    docs, ledger = _table(spark, sf_dir, "documents"), secrets.fresh_ledger(spark)
+    first = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) < 1 << 31
+    parts = [secrets.scan_versions(docs.filter(delivered), ledger, "doc_id") for delivered in (first, ~first)]
+    found = parts[0].unionByName(parts[1])
     spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["rule"], f["start"], f["end"])), ",")
     kinds = F.transform("findings", lambda f: f["rule"])
     counts = [F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
@@ -137,11 +141,12 @@ ORACLE_SQL = {
     "op8_chat_rotation": f"""
         with m as (select distinct conv_id, turn, role, text from conversations),
         p as (select distinct conv_id, role as perspective from m where role is not null and role <> 'system'),
-        j as (select m.conv_id, perspective, turn // {chat.PART} as part, turn, role, text, role is not null and role = perspective as own,
+        o as (select *, (row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) - 1) // {chat.PART} as part from m),
+        j as (select m.conv_id, perspective, part, turn, role, text, role is not null and role = perspective as own,
                      case when role is null then '<|user|>' when role = 'system' then '<|system|>' when role = perspective then '<|assistant|>'
                           else '<|user name=' || replace(role, '<|', '< |') || '|>' end || chr(10) as head,
                      replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) as body
-              from m join p on m.conv_id is not distinct from p.conv_id),
+              from o as m join p on m.conv_id is not distinct from p.conv_id),
         e as (select *, sum(length(head) + length(body)) over (partition by conv_id, perspective, part
                      order by turn nulls first, role nulls first, text nulls first rows unbounded preceding) as "end" from j)
         select conv_id, perspective, part, count(*) as n_messages,

@@ -37,6 +37,8 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
 )
+#: Portions over which the copies of one text are dealt.
+SALTS = 16
 SCANNED, FINDINGS = "blob binary, rule string, version int", "blob binary, rule string, version int, start long, end long"
 
 
@@ -95,26 +97,28 @@ def scan_versions(versions: DataFrame, ledger: BlobLedger, path: str = "path", t
     order of start and then of ``rules``; empty where nothing was found.
     """
     rows = private(versions, path=F.col(path), text=text_or_empty(text)).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    named = cut(rows.select("path", "blob"), "versions")
+    own = named.select("blob").distinct()
     kinds = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     seen = ledger.scanned()
     if seen.isEmpty():
-        todo = None
         blobs = rows.groupBy("blob").agg(F.any_value("text").alias("text")).withColumn("todo", F.array(*[F.lit(r.kind) for r in rules]))
-        scanned = rows.select("blob").distinct().select("blob", F.inline(kinds))
+        scanned = own.select("blob", F.inline(kinds))
     else:
-        pairs = rows.select("blob").distinct().select("blob", F.inline(kinds)).join(seen.distinct(), ["blob", "rule", "version"], "left_anti")
-        scanned = cut(pairs, "unseen")
-        todo = scanned.groupBy("blob").agg(F.collect_list("rule").alias("todo"))
-        # unseen blobs are selected before their texts travel
-        blobs = rows.join(todo, "blob").groupBy("blob").agg(F.any_value("text").alias("text"), F.any_value("todo").alias("todo"))
+        scanned = cut(own.select("blob", F.inline(kinds)).join(seen.distinct(), ["blob", "rule", "version"], "left_anti"), "unseen")
+        # unseen blobs are selected before their texts travel, the copies of one in several portions
+        todo = scanned.groupBy("blob").agg(F.collect_list("rule").alias("todo")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("salt", F.pmod(F.hash("path"), F.lit(SALTS))).join(todo, ["blob", "salt"])
+        blobs = salted.groupBy("blob").agg(F.any_value("text").alias("text"), F.any_value("todo").alias("todo"))
     ledger.append(scan_blobs(blobs, rules), scanned)
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     current = F.broadcast(versions.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int"))
-    found = ledger.findings().join(current, ["rule", "version"])
+    # of the ledger's findings only those in this scan's blobs are gathered
+    found = ledger.findings().join(current, ["rule", "version"]).join(own, "blob", "left_semi")
     found = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", place[F.col("rule")].alias("kind"), "rule", "end"))).alias("findings"))
     found = cut(found, "by-blob")
     empty = F.array().cast(found.schema["findings"].dataType)
-    return rows.select("path", "blob").join(found, "blob", "left").select("path", "blob", F.coalesce("findings", empty).alias("findings"))
+    return named.join(found, "blob", "left").select("path", "blob", F.coalesce("findings", empty).alias("findings"))
 
 
 def fresh_ledger(spark: SparkSession) -> BlobLedger:

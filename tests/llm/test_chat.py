@@ -8,11 +8,9 @@ def brute(rows, part):
     for conv in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, first(r[2]), first(r[3])))
         for who in {r[2] for r in mine} - {None, "system"}:
-            for p in {r[1] // part if r[1] is not None else None for r in mine}:
+            for p in range(-(-len(mine) // part)):
                 text, masks, number = "", [], 0
-                for _, turn, role, said in mine:
-                    if (turn // part if turn is not None else None) != p:
-                        continue
+                for _, _, role, said in mine[p * part : (p + 1) * part]:
                     if role == who:
                         head = "<|assistant|>\n"
                     elif role == "system":
@@ -49,3 +47,9 @@ def test_masks_cover_the_speaker_only(spark):
         for a, b in r["masks"]:
             assert r["text"][:a].endswith("<|assistant|>\n") and r["text"][a:b].endswith(op.CLOSE)
             assert "<|" not in r["text"][a : b - len(op.CLOSE)]
+
+
+def test_a_turn_that_many_messages_share_is_split(spark):
+    turns = spark.createDataFrame([(1, 0, "ann" if i % 2 else "bob", f"m{i}") for i in range(600)], "conv_id long, turn long, role string, text string")
+    found = op.rotate(turns).collect()
+    assert sorted((r["perspective"], r["part"], r["n_messages"]) for r in found) == [(w, p, n) for w in ("ann", "bob") for p, n in ((0, 256), (1, 256), (2, 88))]
