@@ -23,14 +23,74 @@ def test_held_out_accuracy(spark, sf):
 
 
 def test_subwords_do_not_depend_on_the_slice():
-    words = pa.array(["the", "Été", "a", "x" * 500, "the", "日本"])
-    buckets, bounds = op._hashed(words)
-    for i, w in enumerate(words.to_pylist()):
-        alone, _ = op._hashed(pa.array([w]))
+    words = [w.lower().encode() for w in ("the", "Été", "a", "x" * 500, "the", "日本")]
+    buckets, bounds = op._hashed(pa.array(words, pa.binary()))
+    for i, w in enumerate(words):
+        alone, _ = op._hashed(pa.array([w], pa.binary()))
         assert alone.tolist() == buckets[bounds[i] : bounds[i + 1]].tolist()
-        size = len(f"<{w.lower()}>".encode())
-        assert len(alone) == 1 + sum(max(0, size - n + 1) for n in op.GRAMS)
-    assert op._hashed(pa.array([], pa.string()))[1].tolist() == [0]
+        assert len(alone) == 1 + sum(max(0, len(w) + 2 - n + 1) for n in op.GRAMS)
+    assert op._hashed(pa.array([], pa.binary()))[1].tolist() == [0]
+
+
+def test_portions_hold_every_word_once():
+    words = ["short", "B" * (3 * op.LONG + 7), *(f"w{i}" for i in range(40_000)), "y" * (2 * op.PORTION + 1)]
+    met = {}
+    for owner, rows in op._portions(pa.array(words)):
+        assert sum(map(len, rows.to_pylist())) <= op.PORTION + op.LONG
+        for i, row in zip(owner.tolist(), rows.to_pylist(), strict=True):
+            met[i] = met.get(i, b"") + row
+    assert [met[i].decode() for i in range(len(words))] == [w.lower() for w in words]
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(5)
+    weights, embed, out, bias, labels = rng.random((4, 7)), rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), np.array([0, 2, 1, 2])
+
+    def loss():
+        return -np.log(op._softmax(weights @ embed @ out + bias)[np.arange(4), labels]).mean()
+
+    by_mean, by_out, by_bias = op._gradients(weights, embed, out, bias, labels)
+    for of, by in ((embed, weights.T @ by_mean), (out, by_out), (bias, by_bias)):
+        for at in np.ndindex(of.shape):
+            old, found = of[at], []
+            for step in (1e-5, -1e-5):
+                of[at] = old + step
+                found.append(loss())
+            of[at] = old
+            assert abs((found[0] - found[1]) / 2e-5 - by[at]) < 1e-6
+
+
+def _calibration(pairs):
+    """Expected calibration error over ten bins of the score."""
+    score, right = (np.array(x, float) for x in zip(*pairs, strict=True))
+    bins = np.minimum((score * 10).astype(int), 9)
+    return sum(abs(score[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+
+
+def test_known_languages_are_kept_and_others_rejected(spark, sf):
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    model = op.fit(docs)
+    assert 0.01 < model.temperature < 100 and 0 < model.usual < model.foreign
+    found = {r["doc_id"]: r for r in op.identify(docs, model).collect()}
+    known = [d for d in docs.filter(op.held_out()).collect() if d["lang"] and any(c.isalpha() for c in d["text"] or "")]
+    assert sum(found[d["doc_id"]]["accepted"] for d in known) >= 0.99 * len(known)
+    # the score is a probability: short documents included, it is right as often as it says
+    assert _calibration([(found[d["doc_id"]]["score"], found[d["doc_id"]]["lang_pred"] == d["lang"]) for d in known]) < 0.05
+    rng = np.random.default_rng(3)
+    noise = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), rng.integers(3, 10))) for _ in range(n)) for n in (5, 40, 400)]
+    strange = ["これは日本語の文章です。とても長い文章ではありません。", "Это простое предложение на русском языке, и оно довольно короткое.", "Ez egy egyszerű magyar mondat, amelyet senki sem tanított meg ennek a modellnek.", "Tämä on tavallinen suomenkielinen lause, jota malli ei ole koskaan nähnyt.", *noise]
+    rows = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    got = op.identify(rows, model).collect()
+    assert not [r for r in got if r["accepted"]], got
+
+
+def test_the_sample_is_bounded_and_the_same_in_every_order(spark):
+    rows = [(None if i % 3 else 7, f"the of and {i % 50} to in" if i % 2 else f"der die {i % 50} und", "en" if i % 2 else "de") for i in range(600)]
+    schema = "doc_id long, text string, lang string"
+    one = op.fit(spark.createDataFrame(rows, schema), most=60, most_bytes=700)
+    two = op.fit(spark.createDataFrame(rows[::-1], schema).repartition(3), most=60, most_bytes=700)
+    assert one.langs == two.langs == ["de", "en"]
+    assert (one.table == two.table).all() and (one.row == two.row).all() and one.threshold == two.threshold
 
 
 def test_edges(spark):
@@ -52,15 +112,17 @@ def test_edges(spark):
     assert {r["lang_pred"] for r in op.identify(docs, None).collect()} == {"und"}
 
 
-def test_calibration_lowers_the_loss():
+def test_the_temperature_is_the_best_and_inside_its_range():
     rng = np.random.default_rng(2)
-    rows = []
-    for i in range(200):
-        mine = rng.integers(0, 50, 30) + (50 if i % 2 else 0)
-        which, times = np.unique(mine, return_counts=True)
-        rows.append(("b" if i % 2 else "a", which.astype("<i4").tobytes(), times.astype("<f4").tobytes()))
-    model = op.train(rows)
-    assert model.langs == ["a", "b"] and 0 < model.threshold <= 0.5
+    truth = np.arange(300) % 3
+    for scale in (0.2, 1.0, 30.0):
+        logits = rng.normal(size=(300, 3)) + 4 * np.eye(3)[truth]
+        t = op.calibrated(logits * scale, truth)
+        assert 0.02 < t < 90
+        assert abs(np.log(t / op.calibrated(logits, truth) / scale)) < 0.05
+    # separable data: sure, but not certain
+    sure = op._softmax(20 * np.eye(3)[truth] / op.calibrated(20 * np.eye(3)[truth], truth)).max()
+    assert abs(sure - 101 / 102) < 1e-3
 
 
 def test_long_texts_are_kept_whole(spark):
