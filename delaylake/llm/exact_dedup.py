@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaylake.llm._common import cut, partitions, private, slices
+from delaylake.llm._common import cut, give_back, partitions, private, slices
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SLOTS, KICKS, KEYS_PER_SHARD = 4, 200, 500_000
@@ -131,24 +131,30 @@ def _digests(batches):
 
 def _fold(batches):
     """Rows of one task to one row for each digest: the last (doc_id, row) and the count."""
-    import pandas as pd
-
-    held = None
+    held, size = [], 0
     for batch in batches:
-        rows = batch.to_pandas()
-        held = rows if held is None else pd.concat([held, rows])
-        if len(held) > 200_000:
-            yield pa.RecordBatch.from_pandas(_folded(held), preserve_index=False)
-            held = None
-    if held is not None and len(held):
-        yield pa.RecordBatch.from_pandas(_folded(held), preserve_index=False)
-
-
-def _folded(rows):
-    last = rows.sort_values(["doc_id", "row"], kind="stable")
-    out = last.drop_duplicates("digest", keep="last").set_index("digest")
-    out["n"] = last.groupby("digest").size()
-    return out.reset_index()[["digest", "doc_id", "row", "n"]]
+        held.append(batch)
+        size += batch.num_rows
+        if size > 200_000:
+            yield _folded(held)
+            held, size = [], 0
+    if size:
+        yield _folded(held)
+    give_back()
+
+
+def _folded(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held)
+    order = np.lexsort((rows.column("row").to_numpy(), rows.column("doc_id").to_numpy()))
+    codes = rows.column("digest").combine_chunks().dictionary_encode()
+    code = codes.indices.to_numpy()
+    last = np.empty(len(codes.dictionary), np.int64)
+    last[code[order]] = order  # of equal digests the last in order stays
+    out = rows.take(pa.array(last))
+    return pa.RecordBatch.from_arrays(
+        [codes.dictionary, *[out.column(c).combine_chunks() for c in ("doc_id", "row")], pa.array(np.bincount(code, minlength=len(last)), pa.int64())],
+        names=["digest", "doc_id", "row", "n"],
+    )
 
 
 def _index(batches):
@@ -171,6 +177,8 @@ def _index(batches):
             [pa.array([k for k, _ in part], pa.binary()), *[pa.array([p[i] for _, p in part], pa.int64()) for i in range(3)]],
             names=["digest", "keep", "keep_row", "group_size"],
         )
+    index, live = None, None
+    give_back()
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,4 +215,5 @@ def keep_last_copy(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         placed = cut(rows.orderBy(F.col("id").asc_nulls_first()).withColumn("place", F.monotonically_increasing_id()), "rows")
         rows = placed.select("whole", F.col("place").alias("id"), "body")
     kept = cut(exact_dedup(rows, "id", "body").filter("kept").select(F.col("doc_id").alias("kept_id")), "kept")
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("whole.*")
+    # one plan at every size: what stays grows with the rows
+    return rows.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("whole.*")
