@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaylake.llm._common import cut, partitions, slices, words_of
+from delaylake.llm._common import cut, give_back, partitions, slices, words_of
 from delaylake.llm._graph import components
 from delaylake.llm.suffix_dedup import numbered
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 30, 4, 12, 1e-6
-BLOCK, MOST_BLOCK, BLOCK_BYTES, PAIRS, TILE = 256, 1024, 8 << 20, 400_000, 1024
+BLOCK, MOST_BLOCK, BLOCK_BYTES, PAIRS, TILE = 256, 1024, 8 << 20, 200_000, 512
 HASHES = BANDS * ROWS
 _SEEDS = np.random.default_rng(97).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -206,24 +206,26 @@ def _prune(batches):
             u, v = rep[rows], rep[rows[label]]
             links = np.unique(np.stack((u[u != v], v[u != v])), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], names=["u", "v"])
+    give_back()
 
 
-def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of two lists, as a product of incidence matrices."""
-    sizes = [len(s) for s in (*left, *right)]
-    _, code, times = np.unique(np.concatenate((*left, *right)), return_inverse=True, return_counts=True)
+def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists (of one with itself), as a product of incidence matrices."""
+    sets = left if right is None else [*left, *right]
+    sizes = [len(s) for s in sets]
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     shared = times[code] > 1
     code, owner = code[shared], owner[shared]
     names, code = np.unique(code, return_inverse=True)
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    out = np.zeros((len(left), len(right)), np.int32)
+    out = np.zeros((len(left), len(left if right is None else right)), np.int32)
     for at in range(0, len(names), TILE):
         a, b = np.searchsorted(code, (at, at + TILE))
         matrix = np.zeros((len(sizes), TILE), np.float32)
         matrix[owner[a:b], code[a:b] - at] = 1
-        out += (matrix[: len(left)] @ matrix[len(left) :].T).astype(np.int32)
+        out += (matrix[: len(left)] @ (matrix if right is None else matrix[len(left) :]).T).astype(np.int32)
     return out
 
 
@@ -240,7 +242,7 @@ def _verify(batches):
             if not len(rows) or not len(columns):
                 continue
             size = np.array([len(s) for s in sets])
-            common = intersections([sets[r] for r in rows], [sets[c] for c in columns])
+            common = intersections([sets[r] for r in rows], None if one else [sets[c] for c in columns])
             linked = 5 * common >= 4 * (size[rows][:, None] + size[columns][None, :] - common)
             if one:
                 np.fill_diagonal(linked, False)
@@ -251,6 +253,7 @@ def _verify(batches):
             x, y = np.nonzero(linked)
             label = _labels(len(rep), rows[x], columns[y])
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[label]), pa.array(links)], names=["u", "v", "links"])
+    give_back()
 
 
 def _blocks(n: Column) -> Column:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,7 +224,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> Plan
     ends = _edges(sums, table)
     inside = placed.join(F.broadcast(ends) if small else ends, ["_pattern"]).filter(F.col("_bucket") == F.col("_edge"))
     inside = inside.groupBy("_pattern", "_key").agg(F.sum("_size").alias("n"), F.first("_left").alias("_left"))
-    edge = cut(inside.groupBy("_pattern").applyInPandas(_fill, "_pattern string, _key long"), "edge")
+    edge = cut(inside.groupBy("_pattern").applyInArrow(_fill, "_pattern string, _key long"), "edge")
     patterns = cut(table.join(ends.select("_pattern", "_edge"), "_pattern", "left"), "plan")
     sources = spark.createDataFrame([*zip(names, source_size, targets, routed)], "source string, source_size long, target double, routed long")
     return Plan(patterns, edge, sources, small)
@@ -246,8 +247,8 @@ def _edges(sums: DataFrame, table: DataFrame) -> DataFrame:
 
 def _fill(rows):
     """Documents of the last bucket: in hash order each that still fits, and of the last ``SUBSET`` the nearest sum."""
-    rows = rows.sort_values("_key", kind="stable")
-    left, sizes = int(rows["_left"].iloc[0]), rows["n"].tolist()
+    rows = rows.sort_by("_key")
+    left, sizes = rows.column("_left")[0].as_py(), rows.column("n").to_pylist()
     taken = [False] * len(sizes)
     for i, size in enumerate(sizes[:-SUBSET]):
         taken[i] = 0 < size <= left
@@ -255,7 +256,7 @@ def _fill(rows):
     first = max(0, len(sizes) - SUBSET)
     for i in nearest_subset(sizes[first:], left):
         taken[first + i] = True
-    return rows.loc[taken, ["_pattern", "_key"]]
+    return rows.select(["_pattern", "_key"]).filter(pa.array(taken))
 
 
 def nearest_subset(sizes: list[int], goal: int) -> list[int]:

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaylake.llm._common import cut, private, slices, words_of
+from delaylake.llm._common import cut, give_back, private, slices, words_of
 
-CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_WORDS = 2048, 25_000, 8, 150_000
+CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_WORDS = 2048, 25_000, 8, 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, part long, released boolean"
 
@@ -50,24 +50,20 @@ PRE_TOKENIZER = {
 }
 
 
-def _by_words(path: str) -> bool:
-    """Whether the file's rules are the ones above, under which words can be coded one by one."""
-    with open(path, encoding="utf-8") as file:
-        made = json.load(file)
-    added = all("<|" in t["content"] and not t["lstrip"] and not t["rstrip"] for t in made["added_tokens"])
-    return added and made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER and not made["truncation"]
+def _by_words(tokenizer) -> bool:
+    """Whether a file's rules are the ones above, under which words can be coded one by one."""
+    rules = [json.loads(part.__getstate__()) if part else None for part in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    added = all("<|" in t.content and not t.lstrip and not t.rstrip for t in tokenizer.get_added_tokens_decoder().values())
+    return added and rules == [NORMALIZER, PRE_TOKENIZER]
 
 
-def _tokenizer(path: str):
+def _tokenizer(tokenizer):
     """A function that gives the little-endian ids of each word.
 
     A word of ASCII and Latin-1 letters is lower-cased and split as the file's normalizer and
     pre-tokenizer do, and the file's model codes its parts, of which a bounded number is
     remembered; any other word goes through the whole tokenizer.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
     plain = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
     parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
@@ -104,9 +100,9 @@ def _tokenizer(path: str):
     return ids
 
 
-def _coded_words(path: str):
+def _coded_words(tokenizer):
     """Texts to their little-endian ids end to end, and offsets (n + 1), by words."""
-    ids = _tokenizer(path)
+    ids = _tokenizer(tokenizer)
 
     def code(texts: pa.Array) -> tuple[bytes, list[int]]:
         offsets, words = words_of(texts)
@@ -122,12 +118,8 @@ def _coded_words(path: str):
     return code
 
 
-def _coded_texts(path: str):
+def _coded_texts(tokenizer):
     """The same by whole texts."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
 
     def code(texts: pa.Array) -> tuple[bytes, list[int]]:
         ids = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
@@ -144,7 +136,12 @@ def _pieces(path: str, capacity: int):
     """
 
     def kernel(batches):
-        code = _coded_words(path) if _by_words(path) else _coded_texts(path)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        code = _coded_words(tokenizer) if _by_words(tokenizer) else _coded_texts(tokenizer)
         for whole in batches:
             for batch in slices(whole, most=1 << 20):
                 tokens, bounds = code(batch.column(1))
@@ -215,23 +212,23 @@ def _pack(capacity: int, level: int):
     """Packs one partition of pieces; ``released`` marks the documents that it offers for exchange."""
 
     def kernel(key, rows):
-        rows = rows.sort_values(["length", "doc_id", "piece", "sequence_id", "offset"], ascending=[False, True, True, True, True], kind="stable")
-        lengths = rows["length"].to_numpy(np.int64)
+        part = key[0].as_py()
+        rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "sequence_id", "offset"))])
+        lengths, before, places = (rows.column(c).to_numpy() for c in ("length", "sequence_id", "offset"))
         bins, offsets, made = best_fit_decreasing(lengths, capacity)
-        first = (level << 56) | (int(key[0]) << 28)
-        if level and made >= rows["sequence_id"].nunique():
-            codes, old = np.unique(rows["sequence_id"].to_numpy(np.int64), return_inverse=True)
-            bins, offsets, made, names = old, rows["offset"].to_numpy(np.int64), len(codes), codes
-        else:
-            names = first + np.arange(made)
+        names = ((level << 56) | (part << 28)) + np.arange(made)
+        codes, old = np.unique(before, return_inverse=True)
+        if level and made >= len(codes):
+            bins, offsets, made, names = old, places, len(codes), codes
         gap = made - lower_bound(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=made)
         released = np.zeros(made, bool)
         released[np.argsort(fill, kind="stable")[: 8 * (gap + 1)]] = True
         released &= fill < capacity
-        rows["part"] = int(key[0])
-        rows["sequence_id"], rows["offset"], rows["released"] = names[bins], offsets, released[bins]
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "released"]]
+        own = {c: rows.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        out = pa.table(own | {"sequence_id": names[bins], "offset": offsets, "part": np.full(len(bins), part), "released": released[bins]})
+        give_back()
+        return out
 
     return kernel
 
@@ -243,7 +240,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # the place in the written pieces parts equal rows, too
     deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts))
     packed = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "part": deal})
-    packed = cut(packed.groupBy("part").applyInPandas(_pack(capacity, 0), PACKED), "packed")
+    packed = cut(packed.groupBy("part").applyInArrow(_pack(capacity, 0), PACKED), "packed")
     done, level = packed.filter("not released"), 0
     while True:
         offered = packed.filter("released")
@@ -252,7 +249,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             return done.unionByName(offered).drop("part", "released")
         level += 1
         dealt = offered.withColumn("part", F.floor(F.col("part") / FAN_IN))
-        packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity, level), PACKED), "packed")
+        packed = cut(dealt.groupBy("part").applyInArrow(_pack(capacity, level), PACKED), "packed")
         done = done.unionByName(packed.filter("not released"))
 
 

@@ -81,11 +81,11 @@ def test_other_vocabularies_code_whole_texts(spark, tmp_path):
     from tokenizers import Tokenizer
 
     made = json.load(open(vocabulary(), encoding="utf-8"))
-    assert packing._by_words(vocabulary())
+    assert packing._by_words(Tokenizer.from_file(vocabulary()))
     made["normalizer"] = None
     path = tmp_path / "other.json"
     path.write_text(json.dumps(made), encoding="utf-8")
-    assert not packing._by_words(str(path))
+    assert not packing._by_words(Tokenizer.from_file(str(path)))
     docs = spark.createDataFrame([(1, "Some Words, HERE"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["ids_crc32"] for r in packing.pack_documents(docs, str(path)).collect()}
     for i, t in ((1, "Some Words, HERE"), (2, "")):
