@@ -16,11 +16,12 @@ position) rows:
 
 Prefix lengths are 32, 64 and the threshold itself, at which a context is one window and every
 row is decided. Ranks are 64-bit fingerprints; copies need equal anchor and context ranks (128
-bits). Each task folds its own copies and sends one row at most for an anchor, so a string
+bits), which in the last round are two fingerprints of the window by different constants, and
+before it the anchor's and a hash of the context's own bytes. Each task folds its own copies and sends one row at most for an anchor, so a string
 that many documents share sends one row per task.
 
 A null text is empty. Rows with a repeated or null doc_id are ordered by doc_id (null first) and
-text, and each is a document of its own. An empty table gives an empty result; further columns
+a hash of the text, and each is a document of its own. An empty table gives an empty result; further columns
 are ignored.
 """
 
@@ -33,30 +34,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaylake.llm._common import cut, give_back, partitions, private, slices
+from delaylake.llm._common import cut, partitions, private, release, slices
 
 THRESHOLD, PREFIXES = 100, (32, 64, 100)
 BLOCK, CHUNK = 4 << 20, 1_000_000
 #: Kinds of rows: windows that repeat; windows for the next round; a context; an anchor with several.
 REPEATS, OPEN, CONTEXT, SEVERAL = 0, 1, 2, 3
 ROWS = "anchor long, ctx long, doc long, base long, place long"
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Odd constants of the two families of fingerprints.
+_FAMILIES = tuple(
+    tuple(map(np.uint64, f))
+    for f in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+)
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _pair(a: np.ndarray, b: np.ndarray, family: tuple) -> np.ndarray:
     """The fingerprint of a string from those of its two (possibly overlapping) parts."""
-    x = a * _A + (b ^ (b >> np.uint64(29))) * _B
+    x = a * family[0] + (b ^ (b >> np.uint64(29))) * family[1]
     x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
+    x *= family[2]
     return x ^ (x >> np.uint64(32))
 
 
-def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+def prefix_ranks(data: np.ndarray, length: int, family: int = 0) -> np.ndarray:
     """Fingerprints of the prefixes of ``length`` bytes at all places, by doubling."""
-    ranks, size = (data.astype(np.uint64) + np.uint64(1)) * _A, 1
+    of = _FAMILIES[family]
+    ranks, size = (data.astype(np.uint64) + np.uint64(1)) * of[0], 1
     while size < length:
         step = min(size, length - size)
-        ranks, size = _pair(ranks[: len(ranks) - step], ranks[step:]), size + step
+        ranks, size = _pair(ranks[: len(ranks) - step], ranks[step:], of), size + step
     return ranks
 
 
@@ -107,7 +113,8 @@ def _ranked(length: int):
                 offsets = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64))))
                 anchor, first, number = contexts(np.frombuffer(data, np.uint8), offsets, length)
                 if length == THRESHOLD:
-                    ctx = anchor
+                    # a context is one window: the anchor's own bytes, by the other family
+                    ctx = prefix_ranks(np.frombuffer(data, np.uint8), length, 1)[first].view(np.int64)
                 else:
                     ends = first + number + (THRESHOLD - 1)
                     ctx = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
@@ -118,11 +125,8 @@ def _ranked(length: int):
                 if size > CHUNK:
                     yield from _fold(held)
                     held, size = [], 0
-                    give_back()
         if held:
             yield from _fold(held)
-        held = []
-        give_back()
 
     return kernel
 
@@ -235,6 +239,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         rows = source.mapInArrow(ranked, ROWS) if found is not None else whole.mapInArrow(lambda b, f=ranked: f(_blocks(b)), ROWS)
         met = rows.repartition(_tasks(docs), "anchor").sortWithinPartitions("anchor", "ctx", "doc", "base", "place")
         decided = cut(met.mapInArrow(_met, ROWS).select("doc", "base", "place"), f"windows-{length}")
+        release(docs.sparkSession)
         runs = decided.filter(kind == REPEATS).select("doc", (F.col("base") + place).alias("start"), F.shiftright("place", 4).bitwiseAND(0xFFF).alias("number"))
         found = runs if found is None else found.unionByName(runs)
         if length == THRESHOLD:
