@@ -38,21 +38,25 @@ class Search:
     exclude: Exclusion = Exclusion.NONE
     window: int = 0
     once: bool = False  # a vector that the library holds more than once counts once
-    co_var: tuple[int, ...] | None = None  # variable numbers of the coordinates, for compat="corrected"
+    #: Variable numbers of the coordinates, for compat="corrected": one tuple for all embeddings, or one for each emb_num.
+    co_var: tuple[int, ...] | dict[int, tuple[int, ...]] | None = None
+
+    def variables(self, emb_num: int) -> tuple[int, ...] | None:
+        return self.co_var[emb_num] if isinstance(self.co_var, dict) else self.co_var
 
 
 def _blocks(rows: DataFrame, size: int, name: str, order: list[str]) -> DataFrame:
     return rows.withColumn(name, F.floor(F.col(order[0]) / size))
 
 
-def excluded(search: Search, t_target: np.ndarray, t_lib: np.ndarray, v_target: np.ndarray, v_lib: np.ndarray) -> np.ndarray:
+def excluded(search: Search, t_target: np.ndarray, t_lib: np.ndarray, v_target: np.ndarray, v_lib: np.ndarray, emb_num: int = 0) -> np.ndarray:
     """Targets x library: whether a candidate is excluded."""
     out = v_target[:, None] == v_lib[None, :]
     if search.exclude & Exclusion.TIME_COORD:
-        e = t_target.shape[1]
+        e, variable = t_target.shape[1], search.variables(emb_num)
         for i in range(e):
             for j in range(e):
-                if search.co_var is None or search.co_var[i] == search.co_var[j]:
+                if variable is None or variable[i] == variable[j]:
                     out |= t_target[:, i][:, None] == t_lib[:, j][None, :]
     if search.exclude & Exclusion.TIME_WINDOW:
         out |= np.abs(t_target[:, 0][:, None] - t_lib[:, 0][None, :]) < search.window
@@ -88,7 +92,7 @@ def _nearest(search: Search, k_of: dict[int, int]):
             k = min(k, len(library))
         v_lib, v_target = library["vec_num"].to_numpy(), targets["vec_num"].to_numpy()
         distance = squared_distances(_stack(targets["co"], float), _stack(library["co"], float))
-        distance[excluded(search, _stack(targets["t_co"], np.int64), _stack(library["t_co"], np.int64), v_target, v_lib)] = np.inf
+        distance[excluded(search, _stack(targets["t_co"], np.int64), _stack(library["t_co"], np.int64), v_target, v_lib, int(key[0]))] = np.inf
         # the k smallest with their ties at the edge in the library's order
         edge = np.partition(distance, k - 1, axis=1)[:, k - 1]
         row, column = np.nonzero((distance <= edge[:, None]) & np.isfinite(distance))

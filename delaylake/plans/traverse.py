@@ -118,15 +118,27 @@ class Run:
             once = self.predictions.filter("pre_val_num = 0")
             if level & LogLevel.VAR_PAR:
                 means = once.select(*target, F.posexplode(F.coalesce("means", F.transform(F.concat(F.array(F.lit(0.0)), F.col("coef")), lambda _: F.lit(None).cast("double")))).alias("var_num", "var_mean"))
-                out["VPM"] = means.withColumn("copr", F.when(F.col("var_num") <= F.lit(max(len(d.co) for d in self.definitions)), "C").otherwise("P"))
+                out["VPM"] = means.withColumn("copr", F.when(F.col("var_num") <= F.create_map(*[F.lit(x) for i, d in enumerate(self.definitions) for x in (i, len(d.co))])[F.col("emb_num")], "C").otherwise("P"))
                 out["VPT"] = self.predictions.select(*target, "pre_val_num", F.posexplode("coef").alias("var_coord", "var_val"))
             if level & (LogLevel.DTLS_STATUS | LogLevel.DTLS_ARRAYS):
                 warning = F.shiftright(F.col("status"), 8).bitwiseAND(0x1F)
-                out["DTLSO"] = once.select(*target, F.lit(TOL_RANK).alias("tol1"), F.lit(TOL_SINGULAR).alias("tol2"), "rank", F.shiftright("status", 13).alias("ierr"), warning.alias("iwarn"), F.col("n_used").alias("m"))
+                dims = lambda f: F.create_map(*[F.lit(x) for i, d in enumerate(self.definitions) for x in (i, f(d))])[F.col("emb_num")]
+                a, b = dims(lambda d: len(d.co) + 1), dims(lambda d: len(d.pre))
+                out["DTLSO"] = once.select(
+                    *target, F.lit(TOL_RANK).alias("tol1"), F.lit(TOL_SINGULAR).alias("tol2"), a.alias("ldx"), "rank", F.shiftright("status", 13).alias("ierr"), warning.alias("iwarn"),
+                    F.greatest(F.col("n_lib"), a + b).alias("ldc"), F.col("n_used").alias("m"), a.alias("n"), b.alias("l"),
+                )
             if level & LogLevel.DTLS_ARRAYS:
-                cells = self.predictions.select(*target, F.lit("X").alias("name"), F.col("pre_val_num").alias("col"), "coef")
-                out["DTLSAN"] = cells.groupBy(*target, "name").agg(F.max(F.size("coef")).alias("nrow"), F.count(F.lit(1)).alias("ncol"))
-                out["DTLSAV"] = cells.select(*target, "name", "col", F.posexplode("coef").alias("row", "val"))
+                # the solution; with SMap(arrays=True) also the singular values and, for C, the right vectors that the solver leaves there
+                width = F.size("singular")
+                cells = [
+                    once.select(*target, F.lit("C").alias("name"), width.alias("ncol"), F.posexplode("vectors").alias("at", "val")),
+                    once.select(*target, F.lit("S").alias("name"), F.lit(1).alias("ncol"), F.posexplode("singular").alias("at", "val")),
+                ]
+                cells = [c.select(*target, "name", F.floor(F.col("at") / F.col("ncol")).cast("int").alias("row"), F.pmod("at", "ncol").alias("col"), "val") for c in cells]
+                solution = self.predictions.select(*target, F.lit("X").alias("name"), F.posexplode("coef").alias("row", "val"), F.col("pre_val_num").alias("col"))
+                out["DTLSAV"] = cells[0].unionByName(cells[1]).unionByName(solution)
+                out["DTLSAN"] = out["DTLSAV"].groupBy(*target, "name").agg((F.max("row") + 1).alias("nrow"), (F.max("col") + 1).alias("ncol"))
         if level & LogLevel.STATISTICS:
             stats = self.stats(per_additional=any(d.addit for d in self.definitions)).withColumn("set_num", F.col("set_num") - 1)
             out["STNP"] = stats.groupBy(*task, "grouped", "addit").agg(F.count(F.lit(1)).alias("n_pre_val"))
@@ -157,9 +169,9 @@ class Run:
         return log_table(self.log(level), fields, trigger)
 
 
-def traverse(series: TimeSeries, definitions: list[EmbeddingDef], predictor, split=LeaveOneOut(), bundle_filter: list[float] | None = None) -> Run:
-    """Embed, group, split and predict; nothing is predicted before a result is asked for."""
-    vectors = cut(bundles(embed(series, definitions), bundle_filter), "vectors")
+def traverse(series: TimeSeries, definitions: list[EmbeddingDef], predictor, split=LeaveOneOut(), bundle_filter: list[float] | None = None, skip_unknown: bool = False) -> Run:
+    """Embed, group, split and predict; ``skip_unknown`` goes on without the embeddings that name unknown variables."""
+    vectors = cut(bundles(embed(series, definitions, skip_unknown=skip_unknown), bundle_filter), "vectors")
     sets = split.split(vectors)
     sets = Sets(cut(sets.library, "library"), cut(sets.prediction, "prediction"), sets.params)
     predictions, near = predictor.predict(sets, vectors, {i: len(d.co) for i, d in enumerate(definitions)})

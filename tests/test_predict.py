@@ -8,6 +8,7 @@ from delaylake.operators.embed import bundles, co_variables, embed
 from delaylake.operators.log import KINDS, binary_records, log_table, records, text_lines, write_log
 from delaylake.operators.neighbours import Exclusion, Search, neighbours
 from delaylake.operators.simplex import Denominator, Simplex, library_rms
+from delaylake.operators import smap
 from delaylake.operators.smap import FAILED, NO_POINTS, RESTRICTED, SMap, reference_distance, total_least_squares
 from delaylake.operators.split import Bootstrap, Convergent, KFold, LeaveOneOut, UserSplit
 from delaylake.operators.stats import skill
@@ -178,6 +179,59 @@ def test_map_recovers_a_linear_rule(spark):
         SMap.sweep(0, 1, 0)
 
 
+def plain_map(map_, x, co, pre, distance, theta):
+    """One target by the singular values of its whole weighted matrix."""
+    scale = reference_distance(distance, map_.xnn, map_.nnn <= 0, map_.compat)
+    matrix = np.concatenate((np.ones((len(co), 1)), co, pre), axis=1)
+    means = matrix.mean(0) * map_.center
+    means[0] = 0
+    c = (matrix - means) * (np.exp(-theta * distance / scale) if scale else np.ones(len(co)))[:, None]
+    e, rank = co.shape[1], min(co.shape[1] + 1, len(co))
+    v2 = np.linalg.svd(c)[2][rank:].T
+    return np.concatenate(([1.0], x - means[1 : e + 1])) @ (-v2[: e + 1] @ np.linalg.pinv(v2[e + 1 :])) + means[e + 1 :]
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_maps_against_a_plain_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(smap, "LIBRARY_BLOCK", block)
+    monkeypatch.setattr(smap, "TARGET_BLOCK", 20)
+    monkeypatch.setattr(smap, "STACK", 500)
+    values = [v + 0.01 * math.sin(7.3 * i * i) for i, v in enumerate(logistic(60))]
+    ts, definitions = series(spark, values), parse_lags("x,0,1:x,-1;x,-2")
+    vectors = embed(ts, definitions).orderBy("vec_num").collect()
+    co, pre, t = (np.array([v[c] for v in vectors], float) for c in ("co", "pre", "t_co"))
+    for map_ in (SMap((0.0, 1.5)), SMap((0.7,), center=True), SMap((1.0,), xnn=4), SMap((1.0,), xnn=4, compat="corrected"), SMap((0.5,), search=Search(Exclusion.TIME_WINDOW, 3)), SMap((0.0, 0.8), nnn=9, center=True), SMap((1.2,), nnn=9, xnn=3)):
+        run = traverse(ts, definitions, map_)
+        rows = run.predictions.collect()
+        assert len(rows) == len(vectors) * 2 * len(map_.thetas)
+        for r in rows:
+            i = r["target_num"]
+            d = np.sqrt(((co - co[i]) ** 2).sum(1))
+            use = np.arange(len(co)) != i
+            if map_.search.exclude:
+                use &= np.abs(t[:, 0] - t[i, 0]) >= 3
+            if map_.nnn:
+                near = sorted(np.flatnonzero(use), key=lambda j: (d[j], j))[: map_.nnn]
+                use = np.isin(np.arange(len(co)), near)
+            assert r["status"] == 0 and r["n_used"] == use.sum()
+            want = plain_map(map_, co[i], co[use], pre[use], d[use], map_.thetas[r["params_id"]])
+            assert r["pre_val"] == pytest.approx(want[r["pre_val_num"]], abs=1e-8), (map_, r)
+
+
+def test_singular_values_and_vectors_are_logged(spark):
+    run = traverse(series(spark, logistic(20)), parse_lags("x,0:x,-1"), SMap((0.5,), arrays=True))
+    tables = run.tables()
+    one = tables["DTLSO"].orderBy("target_num").first()
+    assert (one["ldx"], one["n"], one["l"], one["m"], one["ldc"]) == (2, 2, 1, 18, 19)
+    heads = {(r["name"], r["nrow"], r["ncol"]) for r in tables["DTLSAN"].collect()}
+    assert heads == {("C", 3, 3), ("S", 3, 1), ("X", 2, 1)}
+    cells = {(r["name"], r["row"], r["col"]): r["val"] for r in tables["DTLSAV"].filter("target_num = 3").collect()}
+    assert len(cells) == 9 + 3 + 2 and cells["S", 0, 0] >= cells["S", 1, 0] >= cells["S", 2, 0] >= 0
+    v = np.array([[cells["C", i, j] for j in range(3)] for i in range(3)])
+    assert np.allclose(v.T @ v, np.eye(3))
+    assert np.allclose([cells["X", i, 0] for i in range(2)], -v[:2, 2] / v[2, 2])
+
+
 def test_skill(spark):
     rows = [("a", 1.0, 2.0), ("a", 3.0, 3.0), ("a", None, 1.0), ("a", 8.0, 5.0), ("b", None, 1.0), (None, 2.0, 2.0), ("c", float("nan"), 1.0), ("d", 1.0, 1.0), ("d", 2.0, 4.0)]
     got = {r["k"]: r for r in skill(spark.createDataFrame(rows, "k string, pre_val double, obs_val double"), ["k"]).collect()}
