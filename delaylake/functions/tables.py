@@ -54,7 +54,7 @@ def numbered(df: DataFrame, order: list, name: str, label: str = "numbered") ->
 def positions(df: DataFrame, groups: list[str], order: list, name: str, size: str | None = None) -> DataFrame:
     """``df`` with places 0, 1, ... inside each group (nulls equal) in ``order``, and the group's size; no group is one task's."""
     ranked = numbered(df, [*groups, *order], "_rank", "positions")
-    spans = cut(ranked.groupBy(*groups).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_count")), "spans")
+    spans = ranked.groupBy(*groups).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_count"))
     out = null_safe(ranked, spans, groups, "inner").withColumn(name, F.col("_rank") - F.col("_first"))
     if size:
         out = out.withColumn(size, F.col("_count"))
@@ -70,7 +70,7 @@ def medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     long = rows.select(*keys, F.explode(names).alias("_v")).select(*keys, "_v._name", "_v._value").filter("_value is not null")
     group = [*keys, "_name"]
     ranked = numbered(long, [*group, "_value"], "_rank", "medians")
-    spans = cut(ranked.groupBy(*group).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n")), "spans")
+    spans = ranked.groupBy(*group).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
     named = spans.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_first", "_n")
     same = F.lit(True)
     for g in group:

@@ -30,52 +30,60 @@ def _array(columns: list[Column], kind: str) -> Column:
     return F.array(*columns).cast(f"array<{kind}>")
 
 
-def embed_one(series: TimeSeries, definition: EmbeddingDef, emb_num: int, block: int = BLOCK) -> DataFrame:
-    """The embedding vectors of one definition, numbered in order (``COLUMNS``).
+def embed(series: TimeSeries, definitions: list[EmbeddingDef], block: int = BLOCK, skip_unknown: bool = False) -> DataFrame:
+    """The embedding vectors of all definitions (``COLUMNS``), ``emb_num`` from 0 and numbered in order inside each.
 
     A vector needs its whole span of rows (from the largest to the smallest lag) in one system,
     by the ids at the span's ends, and its coordinates and prediction values not missing.
-    Additional and bundle values may be missing.
+    Additional and bundle values may be missing. ``skip_unknown`` leaves out definitions with
+    unknown variables, with a warning.
+
+    It is one plan: every lag that any definition names is taken once, and each row gives a vector
+    for each definition.
     """
-    unknown = set(definition.variables) - set(series.data)
-    if unknown:
-        raise ValueError(f"unknown variables: {sorted(unknown)}")
-    past, future = definition.max_lag, -definition.min_lag
+    known = []
+    for i, definition in enumerate(definitions):
+        unknown = sorted(set(definition.variables) - set(series.data))
+        if unknown and not skip_unknown:
+            raise ValueError(f"unknown variables: {unknown}")
+        if unknown:
+            logging.getLogger("delaylake").warning("embedding %d has unknown variables and is skipped: %s", i, unknown)
+        else:
+            known.append((i, definition))
+    if not known:
+        raise ValueError("no embedding is left")
+    past, future = max(d.max_lag for _, d in known), -min(d.min_lag for _, d in known)
     block = max(block, past + future)
-    window = Window.partitionBy("_block").orderBy("row")
-    at = lambda c, lag: F.lag(c, lag).over(window) if lag else F.col(c)
-    lagged = {role: [(at(v.name, v.lag), at("t", v.lag)) for v in getattr(definition, role)] for role in ROLES}
+    window, taken = Window.partitionBy("_block").orderBy("row"), {}
+
+    def at(name: str, lag: int) -> Column:
+        """A column's value at a lag, by the name that it gets in the window's output."""
+        alias = taken.setdefault((name, lag), f"_lag{len(taken)}")
+        return F.col(alias)
+
+    made = [
+        F.struct(
+            F.lit(i).alias("emb_num"),
+            (at("row", d.max_lag).isNotNull() & at("row", d.min_lag).isNotNull() & at("id", d.max_lag).eqNullSafe(at("id", d.min_lag))).alias("_whole"),
+            *[_array([at(v.name, v.lag) for v in getattr(d, role)], "double").alias(role) for role in ROLES],
+            *[_array([at("t", v.lag) for v in getattr(d, role)], "long").alias(f"t_{role}") for role in ROLES],
+        )
+        for i, d in known
+    ]
     rows = _with_halo(series.rows, past, future, block)
     rows = rows.select(
-        "_block", "row", "id", F.col("in_lib").alias("use_in_lib"), F.col("in_pre").alias("use_in_pre"),
-        (at("row", past).isNotNull() & at("row", -future).isNotNull() & at("id", past).eqNullSafe(at("id", -future))).alias("_whole"),
-        *[_array([v for v, _ in lagged[role]], "double").alias(role) for role in ROLES],
-        *[_array([t for _, t in lagged[role]], "long").alias(f"t_{role}") for role in ROLES],
-        _array([F.col(b) for b in series.bundle], "double").alias("bundle"),
+        "_block", "row", "id", F.col("in_lib").alias("use_in_lib"), F.col("in_pre").alias("use_in_pre"), _array([F.col(b) for b in series.bundle], "double").alias("bundle"),
+        *[(F.lag(name, lag).over(window) if lag else F.col(name)).alias(alias) for (name, lag), alias in taken.items()],
     )
-    own = F.floor(F.col("row") / block) == F.col("_block")
-    kept = rows.filter(own & F.col("_whole") & F.forall("co", lambda x: x.isNotNull()) & F.forall("pre", lambda x: x.isNotNull()))
-    kept = kept.withColumn("_place", F.row_number().over(window) - 1)
-    kept = cut(kept, "embedding")
-    counts = kept.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    out = kept.join(offsets, "_block").withColumn("vec_num", F.col("_before") + F.col("_place"))
-    return out.withColumn("emb_num", F.lit(emb_num)).select(*COLUMNS)
-
-
-def embed(series: TimeSeries, definitions: list[EmbeddingDef], block: int = BLOCK, skip_unknown: bool = False) -> DataFrame:
-    """All definitions, ``emb_num`` from 0; ``skip_unknown`` leaves out those with unknown variables, with a warning."""
-    out = None
-    for i, definition in enumerate(definitions):
-        if skip_unknown and set(definition.variables) - set(series.data):
-            logging.getLogger("delaylake").warning("embedding %d has unknown variables and is skipped", i)
-            continue
-        one = embed_one(series, definition, i, block)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError("no embedding is left")
-    return out
+    own = rows.filter(F.floor(F.col("row") / block) == F.col("_block"))
+    each = own.select("_block", "row", "id", "use_in_lib", "use_in_pre", "bundle", F.inline(F.array(*made)))
+    kept = each.filter(F.col("_whole") & F.forall("co", lambda x: x.isNotNull()) & F.forall("pre", lambda x: x.isNotNull()))
+    place = F.row_number().over(Window.partitionBy("emb_num", "_block").orderBy("row")) - 1
+    kept = cut(kept.withColumn("_place", place), "embedding")
+    counts = kept.groupBy("emb_num", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("emb_num").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("emb_num", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    return kept.join(offsets, ["emb_num", "_block"]).withColumn("vec_num", F.col("_before") + F.col("_place")).select(*COLUMNS)
 
 
 def co_variables(definition: EmbeddingDef) -> tuple[int, ...]:
@@ -94,12 +102,14 @@ def embedding_meta(series: TimeSeries, definitions: list[EmbeddingDef]) -> DataF
     return series.rows.sparkSession.createDataFrame(rows, "emb_num int, emb_label string, e int, n_pre_val int, n_addit_val int, n_bundle_val int, copr string, coord int, var_name string, lag int")
 
 
-def bundles(vectors: DataFrame, keep: list[float] | None = None) -> DataFrame:
-    """``vectors`` with bundle_num: 0 without bundle values, else 1, 2, ... by ascending bundle vector.
+def bundles(vectors: DataFrame, keep: list[float] | None = None, some: bool = True) -> DataFrame:
+    """``vectors`` with bundle_num: 0 without bundle values (``some`` false: there are none), else 1, 2, ... by ascending bundle vector.
 
     ``keep`` selects vectors whose first bundle value is one of the list. A missing bundle value
     is an error, as groups could not be told apart.
     """
+    if not some and keep is None:
+        return vectors.withColumn("bundle_num", F.lit(0))
     if keep is not None:
         vectors = vectors.filter(F.col("bundle")[0].isin([float(x) for x in keep]))
     bad = F.exists("bundle", lambda x: x.isNull() | F.isnan(x))

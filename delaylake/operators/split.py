@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaylake.functions.rng import LibcRandom, mixed
@@ -21,7 +21,7 @@ from delaylake.functions.tables import cut, positions
 
 GROUP = ["emb_num", "bundle_num"]
 MEMBER = [*GROUP, "set_num", "vec_idx", "vec_num"]
-DRIVER_ROWS = 1_000_000
+DRIVER_ROWS, BLOCK = 1_000_000, 1 << 16
 
 
 class Sets(NamedTuple):
@@ -31,9 +31,17 @@ class Sets(NamedTuple):
 
 
 def placed(vectors: DataFrame) -> DataFrame:
-    """(emb_num, bundle_num, vec_num, pos, n, flags, addit) with pos from 0 inside each group."""
-    rows = vectors.select(*GROUP, "vec_num", "use_in_lib", "use_in_pre", "addit")
-    return cut(positions(rows, GROUP, ["vec_num"], "pos", "n"), "placed")
+    """(emb_num, bundle_num, vec_num, pos, n, flags, addit) with pos from 0 inside each group.
+
+    vec_num is dense inside an embedding, so places come from counts of its blocks; no group is one task's.
+    """
+    rows = vectors.select(*GROUP, "vec_num", "use_in_lib", "use_in_pre", "addit", F.floor(F.col("vec_num") / BLOCK).alias("_block"))
+    counts = rows.groupBy(*GROUP, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    whole, before = Window.partitionBy(*GROUP), Window.partitionBy(*GROUP).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*GROUP, "_block", F.sum("_n").over(whole).alias("n"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*GROUP, "_block").orderBy("vec_num")) - 1
+    out = rows.withColumn("_place", place).join(counts, [*GROUP, "_block"])
+    return cut(out.withColumn("pos", F.col("_before") + F.col("_place")).drop("_block", "_place", "_before"), "placed")
 
 
 def _members(rows: DataFrame, idx: Column) -> DataFrame:
@@ -71,15 +79,17 @@ def _permuted(rows: DataFrame, sets: DataFrame, rng: str, key: str) -> DataFrame
 
 @dataclass(frozen=True)
 class UserSplit:
-    """Library and prediction by the flags of the rows; an empty side is an error."""
+    """Library and prediction by the flags of the rows; an empty side of any group is an error."""
 
     def split(self, vectors: DataFrame) -> Sets:
         rows = placed(vectors)
         sets = _groups(rows).withColumn("set_num", F.lit(0).cast("long"))
         rows = rows.withColumn("set_num", F.lit(0).cast("long")).drop("pos", "n")
+        used = rows.groupBy(*GROUP).agg(F.coalesce(F.bool_or("use_in_lib"), F.lit(False)).alias("lib"), F.coalesce(F.bool_or("use_in_pre"), F.lit(False)).alias("pre"))
+        bad = used.filter(~(F.col("lib") & F.col("pre"))).first()
+        if bad is not None or rows.isEmpty():
+            raise ValueError(f"the library or the prediction set is empty: {bad}")
         sides = [_members(positions(rows.filter(flag), GROUP, ["vec_num"], "pos"), F.col("pos")) for flag in ("use_in_lib", "use_in_pre")]
-        if any(s.isEmpty() for s in sides):
-            raise ValueError("the library or the prediction set is empty")
         return Sets(*sides, sets)
 
 
@@ -89,7 +99,7 @@ class LeaveOneOut:
 
     def split(self, vectors: DataFrame) -> Sets:
         rows = placed(vectors).withColumn("set_num", F.lit(0).cast("long"))
-        both = cut(_members(rows, F.col("pos")), "members")
+        both = _members(rows, F.col("pos"))
         return Sets(both, both, rows.select(*GROUP, "set_num").distinct())
 
 
@@ -163,23 +173,30 @@ class Convergent:
         if self.smallest > self.largest:
             raise ValueError("the smallest library is larger than the largest")
         rows = placed(vectors)
-        groups, spark = _groups(rows), vectors.sparkSession
-        made = []
-        for r in groups.collect():  # one row a group: sizes are a short list
-            n, number = r["n"], 0
+        groups = _groups(rows)
+        steps = []  # a size schedule for each different number of vectors; sizes grow to the largest only
+        for n in sorted(r["n"] for r in groups.select("n").distinct().collect()):
             largest = min(self.largest, n) if self.method == "boot_permut" else self.largest
             if self.smallest > n and self.n_bootstrap != 1 and self.method != "bootstrap":
                 raise ValueError("the smallest library is larger than the group")
-            for size in library_sizes(self.smallest, largest, self.step, self.factor, n, self.method == "bootstrap"):
-                if self.method in ("shift", "random"):
-                    variants = [(shift, 0) for shift in range(0, n, max(self.shift, 1))]
-                else:
-                    variants = [(0, b) for b in range(max(self.n_bootstrap, 1))]
-                for shift, boot in variants:
-                    made.append((r["emb_num"], r["bundle_num"], n, number, size, shift, boot))
-                    number += 1
-        sets = spark.createDataFrame(made, "emb_num int, bundle_num int, n long, set_num long, lib_size long, shift long, boot_i long")
-        if self.method == "bootstrap":
+            steps.append((n, library_sizes(self.smallest, largest, self.step, self.factor, n, self.method == "bootstrap")))
+        sized = groups.join(F.broadcast(vectors.sparkSession.createDataFrame(steps, "n long, sizes array<long>")), "n")
+        # every size with each of its shifts or draws, numbered in that order
+        if self.method in ("shift", "random"):
+            stride = max(self.shift, 1)
+            each, last = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(stride).cast("long")), F.floor((F.col("n") - 1) / stride) + 1
+        else:
+            each, last = F.sequence(F.lit(0).cast("long"), F.lit(max(self.n_bootstrap, 1) - 1).cast("long")), F.lit(max(self.n_bootstrap, 1))
+        sets = sized.select(*GROUP, "n", F.posexplode("sizes").alias("_size", "lib_size")).select(*GROUP, "n", "_size", "lib_size", F.posexplode(each).alias("_each", "_value"))
+        shifting = self.method in ("shift", "random")
+        sets = sets.select(
+            *GROUP, "n", (F.col("_size") * last + F.col("_each")).cast("long").alias("set_num"), "lib_size",
+            (F.col("_value") if shifting else F.lit(0).cast("long")).alias("shift"), (F.lit(0).cast("long") if shifting else F.col("_value")).alias("boot_i"),
+        )
+        if self.method == "bootstrap" and self.rng == "libc":
+            order = [(r["emb_num"], r["bundle_num"], r["n"], r["set_num"], r["lib_size"]) for r in sets.orderBy(*GROUP, "set_num").collect()]
+            library = _drawn(rows, order)
+        elif self.method == "bootstrap":
             draws = sets.withColumn("vec_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lib_size") - 1)))
             draws = draws.withColumn("pos", F.pmod(mixed(F.col("vec_idx"), F.col("set_num")), F.col("n")))
             library = draws.join(rows.drop("n"), [*GROUP, "pos"]).select(*MEMBER)
@@ -196,6 +213,19 @@ class Convergent:
         return Sets(library, _all(rows, sets), sets.drop("n"))
 
 
+def _drawn(rows: DataFrame, order: list[tuple]) -> DataFrame:
+    """Draws of the C library's generator for sets (emb_num, bundle_num, n, set_num, size) in order, seeded anew for each group."""
+    made, random, group = [], LibcRandom(1), None
+    for emb, bundle, n, number, size in order:
+        if n > DRIVER_ROWS or len(made) > DRIVER_ROWS:
+            raise ValueError(f"rng='libc' draws on the driver; a group has {n} vectors, {len(made)} are drawn")
+        if (emb, bundle) != group:
+            random, group = LibcRandom(1), (emb, bundle)
+        made += [(emb, bundle, number, i, p) for i, p in enumerate(random.draws(n, size))]
+    drawn = rows.sparkSession.createDataFrame(made, "emb_num int, bundle_num int, set_num long, vec_idx long, pos long")
+    return drawn.join(rows, [*GROUP, "pos"]).select(*MEMBER)
+
+
 @dataclass(frozen=True)
 class Bootstrap:
     """Draws with replacement, ``n_bootstrap`` times; ``per_addit_group`` draws inside each tuple of additional values."""
@@ -209,6 +239,8 @@ class Bootstrap:
     def split(self, vectors: DataFrame) -> Sets:
         if self.n_bootstrap < 1 or self.per_addit_group and self.lib_size is not None:
             raise ValueError("n_bootstrap is below 1, or a library size is given for stratified draws")
+        if self.per_addit_group and self.rng == "libc":
+            raise ValueError("stratified draws have no rng='libc'")
         rows = placed(vectors)
         sets = _groups(rows).withColumn("set_num", F.explode(F.sequence(F.lit(0), F.lit(self.n_bootstrap - 1)).cast("array<long>")))
         if self.per_addit_group:
@@ -221,15 +253,8 @@ class Bootstrap:
                 same = same & (F.col(f"a.{g}") == F.col(f"b.{g}"))
             library = each.alias("a").join(source.alias("b"), same).select(*[F.col(f"a.{g}").alias(g) for g in GROUP], "set_num", "vec_idx", "vec_num")
         elif self.rng == "libc":
-            made = []
-            for r in _groups(rows).collect():
-                if r["n"] > DRIVER_ROWS:
-                    raise ValueError(f"rng='libc' draws on the driver; a group has {r['n']} vectors")
-                random = LibcRandom(1)
-                for s in range(self.n_bootstrap):
-                    made += [(r["emb_num"], r["bundle_num"], s, i, p) for i, p in enumerate(random.draws(r["n"], self.lib_size or r["n"]))]
-            drawn = rows.sparkSession.createDataFrame(made, "emb_num int, bundle_num int, set_num long, vec_idx long, pos long")
-            library = drawn.join(rows, [*GROUP, "pos"]).select(*MEMBER)
+            groups = sorted((r["emb_num"], r["bundle_num"], r["n"]) for r in _groups(rows).collect())
+            library = _drawn(rows, [(e, b, n, i, self.lib_size or n) for e, b, n in groups for i in range(self.n_bootstrap)])
         else:
             size = F.lit(self.lib_size).cast("long") if self.lib_size else F.col("n")
             drawn = sets.withColumn("vec_idx", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))

@@ -18,9 +18,10 @@ def skill(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
     A pair with a missing value is left out. A group without pairs has n_pre_obs 0, means and
     moments 0 and missing medians. Variances and the covariance are the population's; medians
-    are exact; ``rho`` is the correlation, missing where a variance is 0.
+    are exact; ``rho`` is the correlation, missing where a variance is 0. ``pairs`` is read several
+    times, so it should be a table.
     """
-    pairs = cut(pairs.select(*keys, "pre_val", "obs_val"), "pairs")
+    pairs = pairs.select(*keys, "pre_val", "obs_val")
     both = F.col("pre_val").isNotNull() & F.col("obs_val").isNotNull() & ~F.isnan("pre_val") & ~F.isnan("obs_val")
     groups = pairs.select(*keys).distinct()
     full = pairs.filter(both).withColumn("_e", F.abs(F.col("pre_val") - F.col("obs_val")))

@@ -55,7 +55,7 @@ class Run:
         overall = skill(pairs, keys).withColumns({"grouped": F.lit(False), "addit": F.lit(None).cast("array<double>")})
         if per_additional:
             addit = self.vectors.select("emb_num", F.col("vec_num").alias("target_num"), "addit")
-            grouped = skill(pairs.join(addit, ["emb_num", "target_num"]), [*keys, "addit"]).withColumn("grouped", F.lit(True))
+            grouped = skill(cut(pairs.join(addit, ["emb_num", "target_num"]), "pairs"), [*keys, "addit"]).withColumn("grouped", F.lit(True))
             overall = overall.unionByName(grouped.select(*overall.columns))
         sizes = [self._size(self.sets.library, "lib_set_n_point"), self._size(self.sets.prediction, "pre_set_n_point")]
         out = overall
@@ -171,8 +171,9 @@ class Run:
 
 def traverse(series: TimeSeries, definitions: list[EmbeddingDef], predictor, split=LeaveOneOut(), bundle_filter: list[float] | None = None, skip_unknown: bool = False) -> Run:
     """Embed, group, split and predict; ``skip_unknown`` goes on without the embeddings that name unknown variables."""
-    vectors = cut(bundles(embed(series, definitions, skip_unknown=skip_unknown), bundle_filter), "vectors")
+    vectors = cut(bundles(embed(series, definitions, skip_unknown=skip_unknown), bundle_filter, bool(series.bundle)), "vectors")
     sets = split.split(vectors)
-    sets = Sets(cut(sets.library, "library"), cut(sets.prediction, "prediction"), sets.params)
+    library = cut(sets.library, "library")
+    sets = Sets(library, library if sets.prediction is sets.library else cut(sets.prediction, "prediction"), sets.params)
     predictions, near = predictor.predict(sets, vectors, {i: len(d.co) for i, d in enumerate(definitions)})
     return Run(series, definitions, vectors, sets, cut(predictions, "predictions"), near, embedding_meta(series, definitions), predictor.params(), predictor, split)

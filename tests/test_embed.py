@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from delaylake.operators.embed import bundles, embed, embed_one
+from delaylake.operators.embed import bundles, embed
 from delaylake.plans.spec import parse_lags
 from delaylake.sources.series import TimeSeries, frame, frames, read_binary_log
 
@@ -40,7 +40,7 @@ def test_against_brute_force(spark, block, co, pre, addit):
 
 def test_unknown_variable_and_short_series(spark):
     with pytest.raises(ValueError):
-        embed_one(series(spark), parse_lags("y,0:x,-1")[0], 0)
+        embed(series(spark), parse_lags("y,0:x,-1"))
     assert embed(series(spark), parse_lags("x,0,20:x,-1")).count() == 0
     assert embed(series(spark, PANEL[:0] or [("a", 0, None, None, True)]), parse_lags("x,0:x,-1")).count() == 0
 

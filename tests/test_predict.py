@@ -3,12 +3,13 @@ import math
 import numpy as np
 import pytest
 
+from delaylake.functions.rng import LibcRandom
 from delaylake.functions.tables import medians, numbered
 from delaylake.operators.embed import bundles, co_variables, embed
 from delaylake.operators.log import KINDS, binary_records, log_table, records, text_lines, write_log
 from delaylake.operators.neighbours import Exclusion, Search, neighbours
-from delaylake.operators.simplex import Denominator, Simplex, library_rms
 from delaylake.operators import smap
+from delaylake.operators.simplex import Denominator, Simplex, library_rms
 from delaylake.operators.smap import FAILED, NO_POINTS, RESTRICTED, SMap, reference_distance, total_least_squares
 from delaylake.operators.split import Bootstrap, Convergent, KFold, LeaveOneOut, UserSplit
 from delaylake.operators.stats import skill
@@ -130,6 +131,34 @@ def test_user_split(spark):
         UserSplit().split(bundles(embed(none, parse_lags("x,0:x,-1"))).filter("not use_in_pre"))
 
 
+def test_user_split_needs_both_sides_of_every_group(spark):
+    df = spark.createDataFrame([(t, float(t), t < 6 or t % 2 == 0, t >= 4, float(t % 2)) for t in range(12)], "t long, x double, l boolean, p boolean, g double")
+    ts = TimeSeries.from_dataframe(df.withColumn("l", df.l & (df.g == 0)), ["x"], time="t", in_lib="l", in_pre="p", bundle=["g"])
+    with pytest.raises(ValueError, match="empty"):
+        UserSplit().split(bundles(embed(ts, parse_lags("x,0:x,-1"))))
+
+
+def test_draws_of_the_c_library(spark):
+    vectors = bundles(embed(series(spark, list(range(12))), parse_lags("x,0:x,-1")))
+    random = LibcRandom(1)
+    want = {i: random.draws(11, size) for i, size in enumerate((4, 4, 6, 6))}
+    got = sets_of(Convergent(4, 6, 2, 0.0, "bootstrap", n_bootstrap=2, rng="libc"), vectors)
+    assert {i: s["L"] for i, s in got.items()} == want
+    random = LibcRandom(1)
+    assert [s["L"] for _, s in sorted(sets_of(Bootstrap(2, rng="libc"), vectors).items())] == [random.draws(11, 11) for _ in range(2)]
+    with pytest.raises(ValueError):
+        Bootstrap(2, per_addit_group=True, rng="libc").split(vectors)
+
+
+def test_unknown_variables_are_skipped(spark):
+    ts = series(spark, logistic(30))
+    definitions = parse_lags("x,0:x,-1|y,0:x,-1|x,0,1:x,-1")
+    with pytest.raises(ValueError):
+        traverse(ts, definitions, Simplex())
+    run = traverse(ts, definitions, Simplex(search=Search(Exclusion.TIME_COORD, co_var={0: (0,), 2: (0, 0)})), skip_unknown=True)
+    assert {r["emb_num"] for r in run.predictions.select("emb_num").distinct().collect()} == {0, 2}
+
+
 def test_total_least_squares():
     rng = np.random.default_rng(0)
     a, x = rng.normal(size=(50, 3)), np.array([[2.0, 1.0], [-0.5, 0.0], [1.0, 3.0]])
