@@ -1,9 +1,12 @@
 """Nearest neighbours with exclusions: a top-k join of targets and libraries.
 
-Targets and libraries of a task (emb_num, bundle_num, set_num) are dealt into blocks; a kernel
-compares one target block to one library block in numpy and returns the best k of each target,
-and a second step keeps the best k over the library's blocks. Rows that travel grow with the
-number of blocks, results with k; no task holds a whole library.
+A kernel compares some targets to some of the library in numpy and returns the best k of each target;
+a second step keeps the best k over all. A library of one block is compared whole. A larger one is
+searched exactly but not whole: library and targets of a task (emb_num, bundle_num, set_num) are dealt
+into cells of about ``CELL`` rows, slabs of the first coordinate cut by the last one, each with its box.
+Every target first searches the cell nearest to its own, and its k-th distance there bounds what can
+still count; it then goes only to cells whose box is not farther than that. Only pairs of boxes are
+compared all with all. No task holds more than a cell of either side.
 
 Squared distances are summed in coordinate order. Ties go to the smaller vec_num, then vec_idx.
 ``seq`` counts from the farthest (1) to the nearest neighbour.
@@ -16,13 +19,14 @@ from enum import IntFlag
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delaylake.functions.tables import cut, positions
 from delaylake.operators.split import GROUP, Sets
 
 TASK = [*GROUP, "set_num"]
-TARGET_BLOCK, LIBRARY_BLOCK = 2048, 4096
+TARGET_BLOCK, LIBRARY_BLOCK, CELL = 2048, 4096, 2048
 
 
 class Exclusion(IntFlag):
@@ -45,10 +49,6 @@ class Search:
         return self.co_var[emb_num] if isinstance(self.co_var, dict) else self.co_var
 
 
-def _blocks(rows: DataFrame, size: int, name: str, order: list[str]) -> DataFrame:
-    return rows.withColumn(name, F.floor(F.col(order[0]) / size))
-
-
 def excluded(search: Search, t_target: np.ndarray, t_lib: np.ndarray, v_target: np.ndarray, v_lib: np.ndarray, emb_num: int = 0) -> np.ndarray:
     """Targets x library: whether a candidate is excluded."""
     out = v_target[:, None] == v_lib[None, :]
@@ -84,7 +84,7 @@ def _nearest(search: Search, k_of: dict[int, int]):
     def kernel(key, targets: pd.DataFrame, library: pd.DataFrame) -> pd.DataFrame:
         names = [*TASK, "target_idx", "target_num", "num", "vec_idx", "sqdst", "pre"]
         if not len(targets) or not len(library):
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame([], columns=names, dtype=object)
         k = min(k_of[int(key[0])], len(library))
         library = library.sort_values(["vec_num", "vec_idx"], kind="stable")
         if search.once:
@@ -110,23 +110,88 @@ def _nearest(search: Search, k_of: dict[int, int]):
 
 
 def with_vectors(members: DataFrame, vectors: DataFrame) -> DataFrame:
-    # names of its own for each use, as both sides of a cogroup may come from the same tables
-    points = vectors.select(*[F.col(c).alias(c) for c in ("emb_num", "vec_num", "t_co", "co", "pre")])
-    members = members.select(*[F.col(c).alias(c) for c in members.columns])
-    joined = members.join(points, ["emb_num", "vec_num"])
-    return joined.select(*[F.col(c).alias(c) for c in joined.columns])
+    points = vectors.select("emb_num", "vec_num", "t_co", "co", "pre")
+    return _own(_own(members).join(_own(points), ["emb_num", "vec_num"]))
+
+
+def _compared(left: DataFrame, right: DataFrame, key: list[str], k_of: dict[int, int], search: Search) -> DataFrame:
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_nearest(search, k_of), f"emb_num int, bundle_num int, set_num long, {FOUND}")
+
+
+def _tiled(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of each task in cells of about ``CELL``, numbered from 0: slabs of the first coordinate, cut by the last."""
+    ends = rows.withColumns({"_c0": F.get("co", F.lit(0)), "_c1": F.element_at("co", -1)})
+    slabs = positions(ends, TASK, ["_c0", "_c1", "vec_idx"], "_p", "_n")
+    slabs = slabs.withColumn("_slab", F.floor(F.col("_p") * F.ceil(F.sqrt(F.col("_n") / CELL)) / F.col("_n"))).drop("_p", "_n")
+    cut_ = positions(slabs, [*TASK, "_slab"], ["_c1", "_c0", "vec_idx"], "_p", "_n")
+    cell = F.shiftleft("_slab", 32) + F.floor(F.col("_p") * F.ceil(F.col("_n") / CELL) / F.col("_n"))
+    return cut(cut_.withColumn(name, cell).drop("_c0", "_c1", "_p", "_n", "_slab"), name)
+
+
+def _boxes(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """(task, cell, lo, hi): the smallest and largest value of each coordinate."""
+    side = lambda f: F.filter(F.array(*[f(F.get("co", F.lit(i))) for i in range(most)]), lambda x: x.isNotNull())
+    return cut(rows.groupBy(*TASK, name).agg(side(F.min).alias(f"{name}_lo"), side(F.max).alias(f"{name}_hi")), "boxes")
+
+
+def _gap(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
+    """The squared distance of two boxes, summed in coordinate order like that of two points, so never above theirs."""
+    sides = F.zip_with(F.zip_with(lo_a, hi_b, lambda a, b: a - b), F.zip_with(lo_b, hi_a, lambda a, b: a - b), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    return F.aggregate(sides, F.lit(0.0), lambda total, x: total + x * x)
+
+
+def _dealt(tiles: DataFrame, cells: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _own(tiles.join(pairs, [*TASK, "_tile"])), _own(_own(cells).join(_own(pairs.select(*TASK, "_tile", "_cell")), [*TASK, "_cell"]))
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    """The same rows under names of their own: both sides of a cogroup may come from the same tables."""
+    return rows.select(*[F.col(c).alias(c) for c in rows.columns])
+
+
+def rounds(tiles: DataFrame, cells: DataFrame, k_of: dict[int, int], search: Search):
+    """The two rounds of a search: what meets, each as (targets, library) keyed by task, tile and cell, and the first one's result."""
+    key = [*TASK, "_tile", "_cell"]
+    most = max(r["n"] for r in tiles.select(F.size("co").alias("n")).distinct().collect())
+    met = _boxes(tiles, "_tile", most).join(_boxes(cells, "_cell", most), TASK)
+    gap = _gap(F.col("_tile_lo"), F.col("_tile_hi"), F.col("_cell_lo"), F.col("_cell_hi"))
+    middle = F.aggregate(F.zip_with(F.zip_with("_tile_lo", "_tile_hi", lambda a, b: a + b), F.zip_with("_cell_lo", "_cell_hi", lambda a, b: a + b), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+    home = cut(met.groupBy(*TASK, "_tile").agg(F.min_by("_cell", F.struct(gap, middle, "_cell")).alias("_cell")), "home")
+    first = _dealt(tiles, cells, home)
+    found = cut(_compared(*first, key, k_of, search), "first")
+    yield first, found
+    k = F.create_map(*[F.lit(x) for pair in k_of.items() for x in pair])[F.col("emb_num")]
+    far = found.groupBy(*TASK, "target_idx").agg(F.count(F.lit(1)).alias("_n"), F.max("sqdst").alias("_far"))
+    # a target with fewer than k in the first cell has no bound
+    bounds = far.select(*TASK, F.col("target_idx").alias("vec_idx"), F.when(F.col("_n") >= k, F.col("_far")).alias("_bound"))
+    bounded = cut(tiles.join(bounds, [*TASK, "vec_idx"], "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("inf")))), "bounded")
+    reach = bounded.groupBy(*TASK, "_tile").agg(F.max("_bound").alias("_reach"))
+    others = met.join(reach, [*TASK, "_tile"]).join(home.withColumnRenamed("_cell", "_home"), [*TASK, "_tile"]).filter((F.col("_cell") != F.col("_home")) & (gap <= F.col("_reach")))
+    others = cut(others.select(*TASK, "_tile", "_cell", "_cell_lo", "_cell_hi"), "others")
+    left, right = _dealt(bounded, cells, others)
+    left = left.filter(_gap(F.col("co"), F.col("co"), F.col("_cell_lo"), F.col("_cell_hi")) <= F.col("_bound"))
+    second = left.drop("_bound", "_cell_lo", "_cell_hi"), right
+    yield second, _compared(*second, key, k_of, search)
+
+
+def _searched(tiles: DataFrame, cells: DataFrame, k_of: dict[int, int], search: Search) -> DataFrame:
+    first, second = (found for _, found in rounds(tiles, cells, k_of, search))
+    return first.unionByName(second)
 
 
 def neighbours(sets: Sets, vectors: DataFrame, k_of: dict[int, int], search: Search = Search()) -> DataFrame:
     """(task, target_idx, target_num, seq, num, vec_idx, sqdst, pre of the neighbour), at most k a target."""
-    targets = with_vectors(sets.prediction, vectors).withColumn("_tb", F.floor(F.col("vec_idx") / TARGET_BLOCK))
-    library = with_vectors(sets.library, vectors).withColumn("_lb", F.floor(F.col("vec_idx") / LIBRARY_BLOCK))
-    t_blocks = sets.prediction.select(*TASK, F.floor(F.col("vec_idx") / TARGET_BLOCK).alias("_tb")).distinct()
-    l_blocks = sets.library.select(*TASK, F.floor(F.col("vec_idx") / LIBRARY_BLOCK).alias("_lb")).distinct()
-    key = [*TASK, "_tb", "_lb"]
-    left = targets.join(l_blocks, TASK).groupBy(*key)
-    right = library.join(t_blocks, TASK).groupBy(*key)
-    found = left.cogroup(right).applyInPandas(_nearest(search, k_of), f"emb_num int, bundle_num int, set_num long, {FOUND}")
+    targets, library = with_vectors(sets.prediction, vectors), with_vectors(sets.library, vectors)
+    largest = sets.library.agg(F.max("vec_idx")).first()[0] or 0
+    if largest < LIBRARY_BLOCK:
+        key = [*TASK, "_tb"]
+        block = F.floor(F.col("vec_idx") / TARGET_BLOCK).alias("_tb")
+        blocks = sets.prediction.select(*TASK, block).distinct()
+        found = _compared(targets.select("*", block), library.join(blocks, TASK), key, k_of, search)
+    else:
+        tiles = _tiled(targets, "_tile")
+        cells = tiles.withColumnRenamed("_tile", "_cell") if sets.prediction is sets.library else _tiled(library, "_cell")
+        found = _searched(tiles, cells, k_of, search)
     order = Window.partitionBy(*TASK, "target_idx").orderBy("sqdst", "num", "vec_idx")
     limit = F.create_map(*[F.lit(x) for pair in k_of.items() for x in pair])[F.col("emb_num")]
     if search.once:

@@ -8,6 +8,7 @@ from delaylake.functions.tables import medians, numbered
 from delaylake.operators.embed import bundles, co_variables, embed
 from delaylake.operators.log import KINDS, binary_records, log_table, records, text_lines, write_log
 from delaylake.operators.neighbours import Exclusion, Search, neighbours
+from delaylake.operators import neighbours as nb
 from delaylake.operators import smap
 from delaylake.operators.simplex import Denominator, Simplex, library_rms
 from delaylake.operators.smap import FAILED, NO_POINTS, RESTRICTED, SMap, reference_distance, total_least_squares
@@ -159,6 +160,31 @@ def test_unknown_variables_are_skipped(spark):
     assert {r["emb_num"] for r in run.predictions.select("emb_num").distinct().collect()} == {0, 2}
 
 
+@pytest.mark.parametrize("search", [Search(), Search(Exclusion.TIME_WINDOW, 3), Search(once=True)])
+def test_a_pruned_search_finds_the_same(spark, monkeypatch, search):
+    values = [v + 0.001 * (i % 7) for i, v in enumerate(logistic(1200))]
+    vectors = bundles(embed(series(spark, values), parse_lags("x,0,1:x,-1|x,0,1,2:x,-1")))
+    split = (Bootstrap(2, 900) if search.once else LeaveOneOut()).split(vectors)
+    rows = lambda: sorted(map(tuple, nb.neighbours(split, vectors, {0: 3, 1: 5}, search).select(*nb.TASK, "target_idx", "seq", "num", "vec_idx", "sqdst").collect()))
+    want = rows()
+    monkeypatch.setattr(nb, "LIBRARY_BLOCK", 100)
+    monkeypatch.setattr(nb, "CELL", 60)
+    assert rows() == want and len(want) > 5000
+
+
+def test_a_pruned_search_compares_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CELL", 100)
+    vectors = bundles(embed(series(spark, logistic(4000)), parse_lags("x,0,1:x,-1")))
+    tiles = nb._tiled(nb.with_vectors(LeaveOneOut().split(vectors).library, vectors), "_tile")
+    sizes = [r["count"] for r in tiles.groupBy("_tile").count().collect()]
+    assert sum(sizes) == 3998 and max(sizes) <= 101 and len(sizes) >= 40
+    key, compared = [*nb.TASK, "_tile", "_cell"], 0
+    for (left, right), _ in nb.rounds(tiles, tiles.withColumnRenamed("_tile", "_cell"), {0: 3}, Search()):
+        sides = [side.groupBy(*key).count().withColumnRenamed("count", name) for side, name in ((left, "a"), (right, "b"))]
+        compared += sides[0].join(sides[1], key).selectExpr("sum(a * b)").first()[0]
+    assert compared < 0.1 * 3998**2
+
+
 def test_total_least_squares():
     rng = np.random.default_rng(0)
     a, x = rng.normal(size=(50, 3)), np.array([[2.0, 1.0], [-0.5, 0.0], [1.0, 3.0]])
