@@ -119,8 +119,8 @@ def _secret_matches(kind: str, number: int, group: int, least: int) -> str:
 _MATCHES = " union all ".join(_secret_matches(*x) for x in (("assign", 0, 2, 6), ("access", 1, 0, 20), ("hex", 2, 0, 24)))
 
 _KNOWN = "map {" + ", ".join(f"{_quoted(licenses.normalised(s))}: '{name}'" for name, s in licenses.SENTENCES) + "}"
-_LICENCES = "map {" + ", ".join(f"'{rule}': '{licence}'" for licence, rule in licenses.RULES) + "}"
-_ORDERED = "|".join(sorted((rule for _, rule in licenses.RULES), key=lambda r: -len(r)))
+_LICENCES = "map {" + ", ".join(f"'{licenses.marked_off(rule)}': '{licence}'" for licence, rule in licenses.RULES) + "}"
+_ORDERED = licenses.ordered(licenses.RULES)
 
 ORACLE_SQL = {
     "op1_secret_scan": f"""
@@ -134,8 +134,8 @@ ORACLE_SQL = {
     "op4_license_scan": f"""
         with d as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '[.!?;]+([ \\t\\n\\x0B\\f\\r]|\\z)', chr(10), 'g'), chr(10)) as parts from documents),
         s as (select doc_id, list_filter(list_transform(parts, lambda x: ({_KNOWN})[lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))]), lambda x: x is not null) as ids from d),
-        q as (select doc_id, coalesce(array_to_string(ids, ''), '') as sequence from s),
-        r as (select doc_id, sequence, regexp_extract_all(sequence, '{_ORDERED}') as rules from q)
+        q as (select doc_id, coalesce(array_to_string(ids, ' '), '') as sequence from s),
+        r as (select doc_id, sequence, regexp_extract_all('<' || replace(sequence, ' ', '><') || '>', '{_ORDERED}') as rules from q)
         select doc_id, sequence, len(rules)::bigint as n_rules,
                coalesce(array_to_string(list_transform(rules, lambda x: ({_LICENCES})[x]), ','), '') as licences from r""",
     "op8_chat_rotation": f"""
