@@ -15,19 +15,19 @@ An empty table gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
-import re
-import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delaylake.llm._common import cut, give_back, private, slices, words_of
 
-CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_WORDS = 2048, 25_000, 8, 60_000
+CAPACITY, PIECES_PER_PART, FAN_IN, CACHED_PARTS = 2048, 25_000, 8, 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, part long, released boolean"
 
@@ -57,63 +57,81 @@ def _by_words(tokenizer) -> bool:
     return added and rules == [NORMALIZER, PRE_TOKENIZER]
 
 
-def _tokenizer(tokenizer):
-    """A function that gives the little-endian ids of each word.
+#: Words of ASCII and Latin-1 letters, and what the pre-tokenizer splits them into once they are lower-cased.
+PLAIN, PARTS = "^[!-~À-ÖØ-öø-ÿ]+$", r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+)"
 
-    A word of ASCII and Latin-1 letters is lower-cased and split as the file's normalizer and
-    pre-tokenizer do, and the file's model codes its parts, of which a bounded number is
-    remembered; any other word goes through the whole tokenizer.
-    """
-    model = tokenizer.model
-    plain = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
-    parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
-    letters = _byte_letters()
-    coded: dict[str, bytes] = {}
-    known: dict[str, bytes] = {}
-
-    def code(part: str) -> bytes:
-        spelt = part if part.isascii() else "".join(letters[b] for b in part.encode())
-        ids = [t.id for t in model.tokenize(spelt)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def ids(words: list[str]) -> list[bytes]:
-        out = list(map(known.get, words))
-        missing = [i for i, x in enumerate(out) if x is None]
-        if len(known) + len(missing) > CACHED_WORDS:
-            known.clear()
-        for i in missing:
-            word = words[i]
-            if plain(word) and "<|" not in word:
-                got = []
-                for part in parts(word.lower()):
-                    if (x := coded.get(part)) is None:
-                        if len(coded) >= CACHED_WORDS:
-                            coded.clear()
-                        x = coded[part] = code(part)
-                    got.append(x)
-                out[i] = b"".join(got)
-            else:
-                out[i] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            known[word] = out[i]
-        return out
 
-    return ids
+class _Parts:
+    """Parts that the file's model has coded, as arrays; past ``CACHED_PARTS`` only those of the slice at hand stay."""
+
+    def __init__(self, tokenizer):
+        self.model, self.letters = tokenizer.model, _byte_letters()
+        self.known, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _code(self, part: str) -> list[int]:
+        spelt = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
+        return [t.id for t in self.model.tokenize(spelt)]
+
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """The places of different parts among the known ones; new ones are coded and join them."""
+        at = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        if len(self.known) + len(new) > CACHED_PARTS:
+            stay = at[at >= 0]
+            self.known = self.known.take(pa.array(stay))
+            self.flat, _ = _gathered(self.flat, np.cumsum(self.sizes) - self.sizes, self.sizes, stay)
+            self.sizes = self.sizes[stay]
+            at[at >= 0] = np.arange(len(stay))
+        ids = [self._code(p) for p in new.to_pylist()]
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)))
+        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))))
+        return at
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` by their codes end to end, and offsets."""
+    ends = np.concatenate(([0], np.cumsum(sizes[codes])))
+    place = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes[codes])
+    return flat[place], ends
 
 
 def _coded_words(tokenizer):
-    """Texts to their little-endian ids end to end, and offsets (n + 1), by words."""
-    ids = _tokenizer(tokenizer)
+    """Texts to their little-endian ids end to end, and offsets (n + 1), by words.
+
+    The different words of a slice are split into parts and their different parts coded by the
+    model; a word of other letters, or with a mark of the file's special tokens, goes through the
+    whole tokenizer.
+    """
+    known = _Parts(tokenizer)
 
     def code(texts: pa.Array) -> tuple[bytes, list[int]]:
         offsets, words = words_of(texts)
         coded = words.dictionary_encode()
-        table = ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        flat, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy()
-        ends = np.concatenate(([0], np.cumsum(sizes[codes])))
-        place = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], sizes[codes])
-        return flat[place].tobytes(), ends[offsets].tolist()
+        distinct = coded.dictionary
+        plain = pc.and_not(pc.match_substring_regex(distinct, PLAIN), pc.match_substring(distinct, "<|"))
+        marked = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(plain, distinct, "")), PARTS, r"\1 ")
+        at, parts = words_of(marked)
+        parts = parts.dictionary_encode()
+        strange = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        place = known.places(parts.dictionary)
+        other = [tokenizer.encode(w, add_special_tokens=False).ids for w in distinct.take(pa.array(strange)).to_pylist()]
+        sizes = np.concatenate((known.sizes, np.fromiter(map(len, other), np.int64, len(other))))
+        flat, starts = np.concatenate((known.flat, np.fromiter(itertools.chain.from_iterable(other), np.uint32))), np.cumsum(sizes) - sizes
+        # the runs that make up each different word: its parts, or the one of a strange word
+        number = np.diff(at)
+        number[strange] = 1
+        ends = np.concatenate(([0], np.cumsum(number)))
+        own = np.zeros(ends[-1], bool)
+        own[ends[strange]] = True
+        runs = np.empty(ends[-1], np.int64)
+        runs[own], runs[~own] = len(known.sizes) + np.arange(len(strange)), place[parts.indices.to_numpy()]
+        flat, bounds = _gathered(flat, starts, sizes, runs)
+        bounds = bounds[ends]
+        tokens, ends = _gathered(flat, bounds[:-1], np.diff(bounds), coded.indices.to_numpy())
+        return tokens.astype("<u4", copy=False).tobytes(), ends[offsets].tolist()
 
     return code
 
@@ -143,7 +161,7 @@ def _pieces(path: str, capacity: int):
         tokenizer.no_padding()
         code = _coded_words(tokenizer) if _by_words(tokenizer) else _coded_texts(tokenizer)
         for whole in batches:
-            for batch in slices(whole, most=1 << 20):
+            for batch in slices(whole, most=2 << 20):
                 tokens, bounds = code(batch.column(1))
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for i, doc in enumerate(batch.column(0).to_pylist()):
