@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaylake.llm._common import private, segment_sums, slices, texts_bytes, words_of
+from delaylake.llm._common import give_back, private, segment_sums, slices, texts_bytes, words_of
 
 BUCKET_BITS, WIDTH, GRAMS = 20, 16, (3, 4, 5)
 BUCKETS = 1 << BUCKET_BITS
@@ -144,11 +144,14 @@ def _gradients(weights: np.ndarray, embed: np.ndarray, out: np.ndarray, bias: np
 def _descend(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minibatch gradient descent of the embeddings and the softmax: the buckets met, their embeddings, out and bias."""
     rng = np.random.default_rng(SEED)
-    used = np.unique(np.concatenate([b for b, _ in docs]))
-    docs = [(np.searchsorted(used, b), (c / c.sum()).astype(np.float32)) for b, c in docs]
+    met = np.zeros(BUCKETS, bool)
+    for b, _ in docs:
+        met[b] = True
+    used = np.flatnonzero(met).astype(np.int32)
+    docs = [(np.searchsorted(used, b).astype(np.int32), (c / c.sum(dtype=np.float64)).astype(np.float32)) for b, c in docs]
     embed = rng.normal(0, 0.1, (len(used), WIDTH)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (WIDTH, langs)), np.zeros(langs)
-    here, at = np.zeros(len(used), bool), np.zeros(len(used), np.int64)
+    here, at = np.zeros(len(used), bool), np.zeros(len(used), np.int32)
     queue = np.zeros(0, np.int64)
     for step in range(STEPS):
         if len(queue) < BATCH:
@@ -165,8 +168,8 @@ def _descend(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, lang
             weights[j, at[docs[i][0]]] = docs[i][1]
         by_mean, by_out, by_bias = _gradients(weights, embed[own], out, bias, labels[part])
         # a subword moves by its share of the average, relative to how concentrated the document's shares are
-        pushes = weights / (weights * weights).sum(1, keepdims=True)
-        embed[own] -= pushes.T @ (rate * by_mean).astype(np.float32)
+        weights /= np.einsum("ij,ij->i", weights, weights)[:, None]
+        embed[own] -= weights.T @ (rate * by_mean).astype(np.float32)
         out -= rate * by_out
         bias -= rate * by_bias
     return used, embed, out, bias
@@ -191,7 +194,7 @@ def train(rows: list[tuple[str, bytes, bytes]]) -> Model | None:
         return None
     langs = sorted({r[0] for r in rows})
     labels = np.array([langs.index(r[0]) for r in rows])
-    docs = [(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4").astype(float)) for r in rows]
+    docs = [(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in rows]
     held = np.arange(len(docs)) % 4 == 3
     seen = np.flatnonzero(~held)
     used, embed, out, bias = _descend([docs[i] for i in seen], labels[seen], len(langs))
@@ -286,7 +289,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return None
     sample = rows.filter(F.col("key") <= edge).groupBy("key").agg(F.min_by("lang", "lang").alias("lang"), F.first("text").alias("text"))
     made = sample.select("lang", "text").mapInArrow(_features, "lang string, buckets binary, counts binary")
-    return train(sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in made.collect()))
+    columns = made.toArrow()
+    found = sorted(zip(*(columns.column(c).to_pylist() for c in ("lang", "buckets", "counts")), strict=True))
+    del columns
+    give_back()
+    model = train(found)
+    del found
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
