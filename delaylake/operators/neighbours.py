@@ -10,23 +10,38 @@ compared all with all. No task holds more than a cell of either side.
 
 Squared distances are summed in coordinate order. Ties go to the smaller vec_num, then vec_idx.
 ``seq`` counts from the farthest (1) to the nearest neighbour.
+
+``with_nearest`` hands each target's neighbours straight to a function and writes no table of them. Rows
+are dealt once into tiles that travel and are kept as packed columns, one row a tile. A tile is searched
+by itself first, in small cells; then it gets from other tiles only rows that can still count, judged
+by the boxes and k-th distances of its cells, and is searched again. Of rows equally far only those of
+smaller numbers count, so large groups of equal vectors are not sent about.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from enum import IntFlag
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from delaylake.functions.tables import cut, positions
 from delaylake.operators.split import GROUP, Sets
 
 TASK = [*GROUP, "set_num"]
 TARGET_BLOCK, LIBRARY_BLOCK, CELL = 2048, 4096, 2048
+#: Rows of a packed tile and of a cell inside it; one row of so many helps to place the tiles' borders, and only that; most pairs compared at once.
+TILE, INNER, BORDER, STACK = 8192, 128, 128, 1 << 22
+TARGET, LIBRARY = 1, 2
 
 
 class Exclusion(IntFlag):
@@ -200,3 +215,289 @@ def neighbours(sets: Sets, vectors: DataFrame, k_of: dict[int, int], search: Sea
     ranked = found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
     count = F.count(F.lit(1)).over(Window.partitionBy(*TASK, "target_idx"))
     return ranked.withColumn("n_found", count).withColumn("seq", (F.col("n_found") - F.col("_rank") + 1).cast("int")).drop("_rank")
+
+
+class Points(NamedTuple):
+    """Rows of a task as arrays; ``side`` says whether a row is a target, in the library or both."""
+
+    idx: np.ndarray
+    num: np.ndarray
+    side: np.ndarray
+    co: np.ndarray
+    pre: np.ndarray
+    t_co: np.ndarray
+
+    def of(self, rows: np.ndarray) -> Points:
+        return Points(*(a[rows] for a in self))
+
+    def packed(self) -> dict:
+        return {name: np.ascontiguousarray(a).tobytes() for name, a in zip(self._fields, self, strict=True)}
+
+
+_KINDS = Points(np.int64, np.int64, np.int8, np.float64, np.float64, np.int64)
+PACKED = "n int, " + ", ".join(f"{name} binary" for name in Points._fields)
+
+
+def _points(table: pa.Table) -> Points:
+    some = table.num_rows
+
+    def column(name: str, kind) -> np.ndarray:
+        found = table.column(name)
+        if not pa.types.is_list(found.type) and not pa.types.is_large_list(found.type):
+            return found.to_numpy().astype(kind)
+        return pc.list_flatten(found).to_numpy().astype(kind).reshape(some, -1) if some else np.zeros((0, 0), kind)
+
+    return Points(*(column(name, kind) for name, kind in zip(("vec_idx", "vec_num", "side", "co", "pre", "t_co"), _KINDS, strict=True)))
+
+
+def _unpacked(rows: list[dict]) -> Points:
+    """The rows of packed columns, one after the other."""
+    parts = []
+    for r in rows:
+        flat = [np.frombuffer(r[name], kind) for name, kind in zip(Points._fields, _KINDS, strict=True)]
+        parts.append(Points(*flat[:3], *(a.reshape(r["n"], -1) for a in flat[3:])))
+    return Points(*(np.concatenate(arrays) for arrays in zip(*parts, strict=True))) if len(parts) > 1 else parts[0]
+
+
+def _split(co: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers in cells of at most ``most``: slabs of the first coordinate cut by the last one."""
+    if not len(co):
+        return []
+    slabs = max(1, round(np.sqrt(len(co) / most)))
+    out = []
+    for slab in np.array_split(np.lexsort((co[:, -1], co[:, 0])), slabs):
+        slab = slab[np.lexsort((co[slab, 0], co[slab, -1]))]
+        out += np.array_split(slab, max(1, -(-len(slab) // most)))
+    return [rows for rows in out if len(rows)]
+
+
+def _apart(lo: np.ndarray, hi: np.ndarray, other_lo: np.ndarray, other_hi: np.ndarray) -> np.ndarray:
+    """Squared distances of boxes (a row each) to others, summed in coordinate order: never above those of points inside."""
+    out = np.zeros((len(lo), len(other_lo)))
+    for i in range(lo.shape[1]):
+        d = np.maximum(np.maximum(lo[:, i][:, None] - other_hi[:, i], other_lo[:, i] - hi[:, i][:, None]), 0.0)
+        out += d * d
+    return out
+
+
+class Found(NamedTuple):
+    """Of each target the ``k`` nearest, near to far: library rows (-1: none), squared distances, how many there are."""
+
+    row: np.ndarray
+    sqdst: np.ndarray
+    number: np.ndarray
+
+
+def _best(search: Search, emb_num: int, k: int, targets: Points, library: Points, candidates: np.ndarray) -> Found:
+    """Targets against ``candidates``, row numbers of a library in order of (num, idx)."""
+    row = np.full((len(targets.idx), k), -1)
+    sqdst, number = np.full((len(targets.idx), k), np.inf), np.zeros(len(targets.idx), np.int64)
+    if not len(candidates):
+        return Found(row, sqdst, number)
+    some = library.of(candidates)
+    step = max(1, STACK // len(candidates))
+    for a in range(0, len(targets.idx), step):
+        mine = targets.of(slice(a, a + step))
+        distance = squared_distances(mine.co, some.co)
+        distance[excluded(search, mine.t_co, some.t_co, mine.num, some.num, emb_num)] = np.inf
+        edge = np.partition(distance, min(k, len(candidates)) - 1, axis=1)[:, min(k, len(candidates)) - 1]
+        at, column = np.nonzero((distance <= edge[:, None]) & np.isfinite(distance))
+        order = np.lexsort((column, distance[at, column], at))
+        at, column = at[order], column[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        at, column, rank = at[rank < k], column[rank < k], rank[rank < k]
+        row[a + at, rank], sqdst[a + at, rank] = candidates[column], distance[at, column]
+        number[a : a + step] = np.bincount(at, minlength=len(mine.idx))
+    return Found(row, sqdst, number)
+
+
+def _bounds(found: Found, library: Points) -> tuple[float, float]:
+    """How far a row may be to count for any of some targets, and the largest number that counts at that distance."""
+    if (found.number < found.row.shape[1]).any():
+        return np.inf, np.inf
+    far = found.sqdst[:, -1]
+    reach = far.max()
+    return float(reach), float(library.num[found.row[far == reach, -1]].max())
+
+
+def _counting(gap: np.ndarray, num: np.ndarray, reach, last) -> np.ndarray:
+    return (gap < reach) | ((gap == reach) & (num <= last))
+
+
+def _ordered(library: Points, search: Search) -> Points:
+    library = library.of(np.lexsort((library.idx, library.num)))
+    return library.of(np.flatnonzero(np.diff(library.num, prepend=library.num[:1] - 1) != 0)) if search.once else library
+
+
+def nearest_rows(search: Search, emb_num: int, k: int, targets: Points, library: Points):
+    """Of each cell of targets their row numbers, what an ``_ordered`` library has near them, and lo, hi, reach and last number."""
+    homes = [np.sort(rows) for rows in _split(library.co, max(INNER, 2 * k))]
+    if homes:
+        lows, highs = (np.array([f(library.co[rows], axis=0) for rows in homes]) for f in (np.min, np.max))
+    for rows in _split(targets.co, INNER):
+        some = targets.of(rows)
+        lo, hi = some.co.min(0), some.co.max(0)
+        candidates = np.zeros(0, np.int64)
+        if homes:
+            middle = ((lows + highs - lo - hi) ** 2).sum(1)
+            home = homes[np.lexsort((middle, _apart(lo[None], hi[None], lows, highs)[0]))[0]]
+            reach, last = _bounds(_best(search, emb_num, k, some, library, home), library)
+            candidates = np.flatnonzero(_counting(_apart(lo[None], hi[None], library.co, library.co)[0], library.num, reach, last))
+        found = _best(search, emb_num, k, some, library, candidates)
+        yield rows, found, (*lo, *hi, *_bounds(found, library))
+
+
+def _borders(rows: DataFrame, tile: int) -> dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From one in ``BORDER`` rows, for each task: borders of the slabs, of the cells in each, and the parts of each cell."""
+    ends = [F.get("co", F.lit(0)).alias("a"), F.element_at("co", -1).alias("b"), F.col("side").bitwiseAND(LIBRARY).alias("side")]
+    some = rows.select(*TASK, *ends).toPandas()
+    out = {}
+    for key, each in some.groupby(TASK):
+        count, known = len(each) * BORDER / tile, each[each["side"] > 0] if (each["side"] > 0).any() else each
+        slabs = max(1, round(np.sqrt(count)))
+        inside = np.arange(1, slabs) / slabs
+        cut_ = np.quantile(known["a"], inside, method="nearest") if slabs > 1 else np.zeros(0)
+        slab, cells = np.searchsorted(cut_, known["a"], side="right"), np.full((slabs, slabs - 1), np.inf)
+        for i in range(slabs):
+            if slabs > 1 and (slab == i).any():
+                cells[i] = np.quantile(known["b"][slab == i], inside, method="nearest")
+        at = _cells(each["a"].to_numpy(), each["b"].to_numpy(), cut_, cells)
+        out[tuple(int(x) for x in key)] = cut_, cells, np.maximum(1, np.ceil(np.bincount(at, minlength=slabs * slabs) * BORDER / tile - 0.5)).astype(np.int64)
+    return out
+
+
+def _cells(a: np.ndarray, b: np.ndarray, cut_: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    slab = np.searchsorted(cut_, a, side="right")
+    return slab * len(cells) + (b[:, None] >= cells[slab]).sum(1)
+
+
+def _in_tiles(rows: DataFrame, borders: dict) -> DataFrame:
+    """``rows`` with ``_tile``; a cell of far more than a tile's rows (equal ones) is dealt into parts by vec_idx."""
+
+    @F.pandas_udf("long")
+    def tile(emb: pd.Series, bundle: pd.Series, number: pd.Series, idx: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(idx), np.int64)
+        keys, which = np.unique(np.stack([emb, bundle, number], axis=1), axis=0, return_inverse=True)
+        for i, key in enumerate(keys):
+            if tuple(int(x) for x in key) in borders:
+                cut_, cells, parts = borders[tuple(int(x) for x in key)]
+                at = np.flatnonzero(which.ravel() == i)
+                cell = _cells(a.to_numpy()[at], b.to_numpy()[at], cut_, cells)
+                out[at] = (cell << 32) + idx.to_numpy()[at] % parts[cell]
+        return pd.Series(out)
+
+    return rows.withColumn("_tile", tile(*TASK, "vec_idx", F.get("co", F.lit(0)), F.element_at("co", -1)))
+
+
+def _sides(points: Points) -> tuple[Points, Points]:
+    return points.of((points.side & TARGET) > 0), points.of((points.side & LIBRARY) > 0)
+
+
+def _met(tiles: pd.DataFrame) -> list[tuple]:
+    """(task, _tile, _cell) of tiles and other tiles whose library may count for them."""
+    out, step = [], 256
+    for key, each in tiles.groupby(TASK):
+        box = [np.array(each[c].tolist(), float).reshape(len(each), -1) for c in ("lo", "hi", "lib_lo", "lib_hi")]
+        reach, names, has = each["reach"].to_numpy(), each["_tile"].to_numpy(), each["lib_n"].to_numpy() > 0
+        wants = reach >= 0  # -1: no targets
+        for a in range(0, len(each), step):
+            near = (_apart(box[0][a : a + step], box[1][a : a + step], box[2], box[3]) <= reach[a : a + step, None]) & has & wants[a : a + step, None]
+            for i, j in zip(*np.nonzero(near), strict=True):
+                if a + i != j:
+                    out.append((*(int(x) for x in key), int(names[a + i]), int(names[j])))
+    return out
+
+
+def _held(targets: Points, held: list[tuple], library: Points) -> tuple[Points, Points, Found]:
+    return targets.of(np.concatenate([rows for rows, _ in held])), library, Found(*(np.concatenate(a) for a in zip(*(found for _, found in held), strict=True)))
+
+
+def with_nearest(sets: Sets, vectors: DataFrame, k: int, search: Search, made: Callable, schema: str) -> DataFrame:
+    """What ``made(key, targets, library, found)``, an Arrow table, gives for all targets, in portions; the same neighbours as ``neighbours``."""
+    spark, key, width = vectors.sparkSession, [*TASK, "_tile"], "emb_num int, bundle_num int, set_num long, _tile long, "
+    alike = sets.prediction is sets.library
+    sides = [(sets.library, TARGET | LIBRARY)] if alike else [(sets.prediction, TARGET), (sets.library, LIBRARY)]
+
+    def points(some: Column | None = None) -> DataFrame:
+        out = None
+        for members, side in sides:
+            one = with_vectors(members, vectors) if some is None else with_vectors(members.filter(some), vectors.filter(some))
+            one = one.select(*TASK, "vec_idx", "vec_num", F.lit(side).alias("side"), "co", "pre", "t_co" if search.exclude else F.array().cast("array<long>").alias("t_co"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    made_schema = to_arrow_schema(StructType.fromDDL(schema))
+
+    def ended(task: tuple, targets: Points, library: Points) -> pa.Table:
+        """Cells of targets are put together as far as their neighbours fit a stack."""
+        library, out, held = _ordered(library, search), [], []
+        for rows, found, _ in nearest_rows(search, task[0], k, targets, library):
+            held.append((rows, found))
+            if sum(len(r) for r, _ in held) * k > STACK // 8:
+                out.append(made(task[:3], *_held(targets, held, library)))
+                held = []
+        if held:
+            out.append(made(task[:3], *_held(targets, held, library)))
+        return pa.concat_tables(out) if out else made_schema.empty_table()
+
+    sizes = [members.groupBy(*TASK).count().agg(F.max("count")).first()[0] or 0 for members, _ in sides]
+    tile = max(TILE, 4 * k)
+    if sum(sizes) <= tile:
+        alone = lambda task, rows: ended(tuple(x.as_py() for x in task), *_sides(_points(rows)))
+        return points().groupBy(*TASK).applyInArrow(alone, schema)
+
+    tile_ddl = f"{width}{PACKED}, cells binary, lo array<double>, hi array<double>, reach double, lib_n int, lib_lo array<double>, lib_hi array<double>"
+    tile_schema, sent_ddl = to_arrow_schema(StructType.fromDDL(tile_ddl)), width + PACKED
+    sent_schema = to_arrow_schema(StructType.fromDDL(sent_ddl))
+
+    def packed(task: tuple, rows: pa.Table) -> pa.Table:
+        all_ = _points(rows)
+        task = tuple(x.as_py() for x in task)
+        targets, library = _sides(all_)
+        cells = np.array([cell for _, _, cell in nearest_rows(search, task[0], k, targets, _ordered(library, search))])
+        ends = lambda some: [f(axis=0).tolist() if len(some) else [0.0] * some.shape[1] for f in (some.min, some.max)]
+        (lo, hi), (lib_lo, lib_hi) = ends(targets.co), ends(library.co)
+        reach = max((float(cell[-2]) for cell in cells), default=-1.0)
+        one = dict(zip(key, task, strict=True)) | all_.packed() | {"n": len(all_.idx), "cells": cells.tobytes()}
+        one |= {"lo": lo, "hi": hi, "reach": reach, "lib_n": len(library.idx), "lib_lo": lib_lo, "lib_hi": lib_hi}
+        return pa.Table.from_pylist([one], schema=tile_schema)
+
+    dealt = _in_tiles(points(), _borders(points(F.pmod(F.xxhash64("vec_num"), F.lit(BORDER)) == 0), tile))
+    tiles = cut(dealt.groupBy(*key).applyInArrow(packed, tile_ddl), "tiles")
+    met = _met(tiles.select(*key, "lo", "hi", "reach", "lib_n", "lib_lo", "lib_hi").toPandas())
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    columns = zip(*met, strict=True) if met else [[]] * 5
+    pairs = spark.createDataFrame(pa.table({name: pa.array(c, kind) for name, c, kind in zip([*key, "_cell"], columns, kinds, strict=True)}))
+    wants = _own(pairs.join(tiles.select(*key, "cells"), key))
+
+    def sent(task: tuple, cell: pa.Table, wants: pa.Table) -> pa.Table:
+        """The rows of a tile's library that may count for each of some tiles."""
+        out = []
+        if cell.num_rows and wants.num_rows:
+            library = _sides(_unpacked(cell.to_pylist()))[1]
+            library = library._replace(side=np.full(len(library.idx), LIBRARY, np.int8))
+            e = library.co.shape[1]
+            lo, hi = library.co.min(0)[None], library.co.max(0)[None]
+            for want in wants.to_pylist():
+                cells = np.frombuffer(want["cells"]).reshape(-1, 2 * e + 2)
+                cells = cells[_apart(cells[:, :e], cells[:, e : 2 * e], lo, hi)[:, 0] <= cells[:, -2]]
+                gap = _apart(cells[:, :e], cells[:, e : 2 * e], library.co, library.co)
+                some = library.of(_counting(gap, library.num, cells[:, -2:-1], cells[:, -1:]).any(0))
+                if len(some.idx):
+                    out.append({c: want[c] for c in key} | some.packed() | {"n": len(some.idx)})
+        return pa.Table.from_pylist(out, schema=sent_schema)
+
+    rows = [*TASK, "n", *Points._fields]
+    givers = _own(tiles.filter("lib_n > 0").select(*rows, F.col("_tile").alias("_cell")))
+    given = givers.groupBy(*TASK, "_cell").cogroup(wants.groupBy(*TASK, "_cell")).applyInArrow(sent, sent_ddl)
+
+    def joined(task: tuple, own: pa.Table, given: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return made_schema.empty_table()
+        targets, library = _sides(_unpacked(own.to_pylist()))
+        if given.num_rows:
+            library = Points(*(np.concatenate(a) for a in zip(library, _unpacked(given.to_pylist()), strict=True)))
+        return ended(tuple(x.as_py() for x in task), targets, library)
+
+    takers = _own(tiles.filter("reach >= 0").select(*rows, "_tile"))
+    return takers.groupBy(*key).cogroup(given.groupBy(*key)).applyInArrow(joined, schema)

@@ -8,20 +8,25 @@ Only the triangular factor of a weighted matrix matters, and that of stacked fac
 whole, so a library of any size is dealt in blocks: a first pass gives each target its distance scale
 and means, a second one a factor of each library block, and small factors are joined and solved. A
 library of one block takes one pass. Factors, singular values and solutions of many targets are
-computed as stacks. With neighbours a task gets only those.
+computed as stacks. With neighbours each portion of targets is solved where they are found, so they are
+never a table; only the log asks for that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from delaylake.functions.tables import cut
-from delaylake.operators.neighbours import TASK, Search, _stack, excluded, neighbours, squared_distances, with_vectors
+from delaylake.operators.neighbours import TASK, Found, Points, Search, _stack, excluded, neighbours, squared_distances, with_nearest, with_vectors
 from delaylake.operators.split import Sets
 
 TOL_RANK, TOL_SINGULAR, SMALL = 1e-16, 1e-5, 1e-15
@@ -65,6 +70,29 @@ def from_singular(s: np.ndarray, vt: np.ndarray, m: int, n: int) -> tuple[np.nda
     return np.zeros((n, width - n)), 0, warning
 
 
+def all_from_singular(s: np.ndarray, vt: np.ndarray, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``from_singular`` of many matrices of m rows each: solutions, ranks and warnings."""
+    count, width = s.shape
+    s = np.where(np.arange(width) < m[:, None], s, 0.0)
+    bound = np.sqrt(2.0 * np.maximum(m, width)) * TOL_RANK
+    rank, warning = np.minimum((s > bound[:, None]).sum(1), np.minimum(m, n)), np.zeros(count, np.int64)
+    gaps, every = s - np.concatenate((s[:, 1:], np.full((count, 1), -np.inf)), axis=1), np.arange(count)
+    while (even := (rank > 0) & (gaps[every, rank - 1] <= bound)).any():
+        rank[even], warning[even] = rank[even] - 1, 1
+    out, open_ = np.zeros((count, n, width - n)), rank > 0
+    while open_.any():
+        for r in np.unique(rank[open_]):
+            at = np.flatnonzero(open_ & (rank == r))
+            v2 = vt[at, r:].swapaxes(1, 2)
+            exists = (np.abs(np.diagonal(np.linalg.qr(v2[:, n:].swapaxes(1, 2), mode="r"), axis1=1, axis2=2)) > TOL_SINGULAR).all(1)
+            out[at[exists]] = -v2[exists, :n] @ np.linalg.pinv(v2[exists, n:])
+            open_[at[exists]] = False
+            rest = at[~exists]
+            rank[rest], warning[rest] = rank[rest] - 1, 2
+            open_[rest] = rank[rest] > 0
+    return out, rank, warning
+
+
 def total_least_squares(c: np.ndarray, n: int) -> tuple[np.ndarray, int, int]:
     """``from_singular`` of one matrix: X, numerical rank and warning."""
     _, s, vt = np.linalg.svd(triangles(c))
@@ -211,10 +239,11 @@ class SMap:
         s, vt = np.linalg.svd(factor)[1:]
         return one._evaluate(x, pre.shape[1], s, vt, len(co), means[0], True)
 
-    def predict(self, sets: Sets, vectors: DataFrame, e_of: dict[int, int]) -> tuple[DataFrame, DataFrame | None]:
-        targets = with_vectors(sets.prediction, vectors).withColumn("_tb", F.floor(F.col("vec_idx") / TARGET_BLOCK))
+    def predict(self, sets: Sets, vectors: DataFrame, e_of: dict[int, int]) -> tuple[DataFrame, Callable[[], DataFrame] | None]:
+        """The predictions, and what finds the neighbours for the log: no table of them is needed here."""
         if self.nnn > 0:
-            return self._near(sets, vectors, targets, e_of)
+            return self._near(sets, vectors), lambda: neighbours(sets, vectors, dict.fromkeys(e_of, self.nnn), self.search)
+        targets = with_vectors(sets.prediction, vectors).withColumn("_tb", F.floor(F.col("vec_idx") / TARGET_BLOCK))
         largest = sets.library.agg(F.max("vec_idx")).first()[0] or 0
         if largest < LIBRARY_BLOCK:
             by = [*TASK, "_tb"]
@@ -222,27 +251,54 @@ class SMap:
             return targets.groupBy(*by).cogroup(library.groupBy(*by)).applyInPandas(lambda key, some, library: self._whole(key, some, library), OUT), None
         return self._blockwise(sets, vectors, targets), None
 
-    def _near(self, sets: Sets, vectors: DataFrame, targets: DataFrame, e_of: dict[int, int]) -> tuple[DataFrame, DataFrame]:
-        found = cut(neighbours(sets, vectors, dict.fromkeys(e_of, self.nnn), self.search), "neighbours")
-        points = vectors.select("emb_num", F.col("vec_num").alias("num"), "co")
-        near = found.join(points, ["emb_num", "num"]).withColumn("_tb", F.floor(F.col("target_idx") / TARGET_BLOCK))
-
-        def few(key, some: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-            if not len(some):
-                return pd.DataFrame([], columns=NAMES)
-            rows = _rows(some)
-            width, place = 1 + len(rows[0][2]) + len(rows[0][3]), {r[0]: i for i, r in enumerate(rows)}
-            at, rank = near["target_idx"].map(place).to_numpy(np.int64), near["seq"].to_numpy(np.int64) - 1
-            matrix, distance, usable = np.zeros((len(rows), self.nnn, width)), np.zeros((len(rows), self.nnn)), np.zeros((len(rows), self.nnn), bool)
-            if len(near):
-                matrix[at, rank] = _augmented(_stack(near["co"], float), _stack(near["pre"], float))
-                distance[at, rank], usable[at, rank] = np.sqrt(near["sqdst"].to_numpy(float)), True
+    def _near(self, sets: Sets, vectors: DataFrame) -> DataFrame:
+        schema = to_arrow_schema(StructType.fromDDL(OUT))
+
+        def few(key, targets: Points, library: Points, found: Found) -> pa.Table:
+            # from far to near, as ``seq`` counts
+            order = found.number[:, None] - 1 - np.arange(self.nnn)
+            usable = order >= 0
+            row = np.where(usable, np.take_along_axis(found.row, np.maximum(order, 0), 1), 0)
+            distance = np.sqrt(np.where(usable, np.take_along_axis(found.sqdst, np.maximum(order, 0), 1), 0.0))
+            lines = _augmented(library.co, library.pre)
+            matrix = lines[row] * usable[:, :, None] if len(lines) else np.zeros((*row.shape, 1 + targets.co.shape[1] + targets.pre.shape[1]))
             means = self._means(matrix, usable)
             factors = self._factors(matrix, distance, usable, self._scales(distance, usable), means)
-            return pd.DataFrame(self._solved(key[:3], rows, factors, usable.sum(1), self.nnn, means), columns=NAMES)
+            return self._table(key, targets, factors, found.number, means, schema)
 
-        by = [*TASK, "_tb"]
-        return targets.groupBy(*by).cogroup(near.groupBy(*by)).applyInPandas(few, OUT), found
+        return with_nearest(sets, vectors, self.nnn, self.search, few, OUT)
+
+    def _table(self, key, targets: Points, factors: np.ndarray, used: np.ndarray, means: np.ndarray, schema: pa.Schema) -> pa.Table:
+        """What ``_solved`` gives, of all targets at once."""
+        n, e, outputs = len(targets.idx), targets.co.shape[1], targets.pre.shape[1]
+        made = []
+        for k in range(len(self.thetas)):
+            good = np.isfinite(factors[k]).all(axis=(1, 2)) & (used > 0)
+            s, vt = np.zeros(factors.shape[1:3]), np.zeros(factors.shape[1:])
+            if good.any():
+                _, s[good], vt[good] = np.linalg.svd(factors[k][good])
+            coef, rank, warning = np.zeros((n, e + 1, outputs)), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            coef[good], rank[good], warning[good] = all_from_singular(s[good], vt[good], used[good], e + 1)
+            refused = (warning > 0) & self.warn_is_error
+            status = np.where(warning > 0, warning * WARNING | (WARNING_IS_ERROR if self.warn_is_error else WARNED), 0)
+            status = np.where(used == 0, NO_POINTS, np.where(good, status, ERROR | FAILED))
+            solved = good & ~refused
+            x = np.concatenate((np.ones((n, 1)), targets.co - means[:, 1 : e + 1]), axis=1)
+            value = (x[:, None, :] @ coef)[:, 0] + means[:, e + 1 :]
+            absent = ~solved[:, None] | np.isnan(value)
+            if self.restrict > 0:
+                far = np.abs(value) > self.restrict
+                status = np.where(solved & far.any(1), status | RESTRICTED, status)
+                absent |= far
+            each = lambda a: np.repeat(a, outputs)
+            spare = [_lists(a, each(good)) if self.arrays else pa.nulls(n * outputs) for a in (s.repeat(outputs, 0), vt.swapaxes(1, 2).reshape(n, -1).repeat(outputs, 0))]
+            columns = [
+                *(np.full(n * outputs, x) for x in (*key, k)), each(targets.idx), each(targets.num), np.tile(np.arange(outputs), n), pa.array(value.ravel(), mask=absent.ravel()),
+                pa.array(targets.pre.ravel()), each(status), _lists(coef.swapaxes(1, 2).reshape(n * outputs, -1), each(solved)),
+                _lists(means.repeat(outputs, 0), each(solved)) if self.center else pa.nulls(n * outputs), each(rank), each(used), np.full(n * outputs, self.nnn), *spare,
+            ]
+            made.append(pa.table([pa.array(c).cast(f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+        return pa.concat_tables(made)
 
     def _block(self, some: pd.DataFrame, library: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The matrix of a library block, and targets x library distances and whether a row may be used."""
@@ -337,6 +393,12 @@ def _augmented(co: np.ndarray, pre: np.ndarray) -> np.ndarray:
     return np.concatenate((np.ones((len(co), 1)), co, pre), axis=1)
 
 
+def _lists(values: np.ndarray, known: np.ndarray) -> pa.Array:
+    """A list for each row, null where not known."""
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel()), mask=pa.array(~known))
+
+
 def _rows(some: pd.DataFrame) -> list[tuple]:
     """(vec_idx, vec_num, x, observed values) of targets."""
     return [(r.vec_idx, r.vec_num, np.array(r.co, float), r.pre) for r in some.itertuples()]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +41,17 @@ class Run:
     vectors: DataFrame  # embedding vectors with bundle_num
     sets: Sets
     predictions: DataFrame
-    neighbours: DataFrame | None
+    near: DataFrame | Callable[[], DataFrame] | None
     meta: DataFrame
     params: list[dict]
     predictor: object
     split: object
 
+    @cached_property
+    def neighbours(self) -> DataFrame | None:
+        """The neighbours of all targets, found now if the predictor kept none."""
+        return self.near() if callable(self.near) else self.near
+
     def stats(self, per_additional: bool = False) -> DataFrame:
         """Skill by task, parameter and prediction value; with ``per_additional`` also by tuple of additional values.
 

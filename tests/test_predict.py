@@ -359,3 +359,81 @@ def test_maps_run_on_the_daily_series(spark, sf):
     assert got > 0.9 * want
     panel = q.QUERIES["tls_status_panel"](spark, sf).groupBy().sum("n").first()[0]
     assert panel > 1000
+
+
+@pytest.mark.parametrize("search", [Search(), Search(Exclusion.TIME_WINDOW, 3), Search(Exclusion.TIME_COORD, once=True)])
+@pytest.mark.parametrize("split", [LeaveOneOut(), KFold(3), Bootstrap(2, 900), UserSplit()])
+def test_tiles_find_the_same_neighbours(spark, monkeypatch, split, search):
+    values = [round(v + 0.01 * (i % 7), 2) for i, v in enumerate(logistic(1200))] + [0.5] * 300  # many ties, and equal vectors
+    df = spark.createDataFrame([(t, v, t % 3 > 0, t % 5 < 3) for t, v in enumerate(values)], "t long, x double, l boolean, p boolean")
+    ts = TimeSeries.from_dataframe(df, ["x"], time="t", in_lib="l", in_pre="p")
+    vectors = bundles(embed(ts, parse_lags("x,0,1:x,-1|x,0,1,2:x,-1;x,-2")))
+    sets = split.split(vectors)
+    names = ["target_idx", "target_num", "seq", "num", "vec_idx", "sqdst", "pre"]
+
+    def listed(key, targets, library, found):
+        import numpy as np
+        import pyarrow as pa
+
+        at, rank = np.nonzero(found.row >= 0)
+        row = found.row[at, rank]
+        columns = [np.full(len(at), x) for x in key] + [targets.idx[at], targets.num[at], found.number[at] - rank, library.num[row], library.idx[row], found.sqdst[at, rank]]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([*(pa.array(c).cast(t) for c, t in zip(columns, types)), pa.array(library.pre[row].tolist(), pa.list_(pa.float64()))], names=[*nb.TASK, *names])
+
+    schema = "emb_num int, bundle_num int, set_num long, target_idx long, target_num long, seq int, num long, vec_idx long, sqdst double, pre array<double>"
+    rows = lambda df: sorted(map(str, df.select(*nb.TASK, *names).collect()))
+    want = rows(nb.neighbours(sets, vectors, {0: 6, 1: 6}, search))
+    for tile in (1 << 20, 150):
+        monkeypatch.setattr(nb, "TILE", tile)
+        monkeypatch.setattr(nb, "BORDER", 2)
+        assert rows(nb.with_nearest(sets, vectors, 6, search, listed, schema)) == want and len(want) > 5000
+
+
+def test_maps_of_neighbours_write_no_table_of_them(spark, monkeypatch):
+    from delaylake.plans import traverse as module
+
+    written = {}
+
+    def kept(df, label, cut=nb.cut):
+        out = cut(df, label)
+        written[label] = out.count()
+        return out
+
+    for each in (nb, smap, module):
+        monkeypatch.setattr(each, "cut", kept)
+    monkeypatch.setattr(nb, "LIBRARY_BLOCK", 300)
+    monkeypatch.setattr(nb, "TILE", 300, raising=False)
+    run = traverse(series(spark, logistic(2000)), parse_lags("x,0,1:x,-1"), SMap((0.0, 1.0), nnn=20))
+    assert run.predictions.count() == written["predictions"] == 2 * 1998
+    assert max(written.values()) <= 2 * 1998, written
+    assert run.neighbours.count() == 20 * 1998
+
+
+def test_maps_over_tiles_are_those_of_one(spark, monkeypatch):
+    values = [round(v + 0.01 * math.sin(7.3 * i * i), 3) for i, v in enumerate(logistic(1500))] + [0.5] * 200
+    ts = series(spark, values)
+    for map_ in (SMap((0.0, 1.5), nnn=12), SMap((1.0,), nnn=3, xnn=2, center=True, restrict=0.9, arrays=True), SMap((0.5,), nnn=2, warn_is_error=True)):
+        got = []
+        for tile in (1 << 20, 200):
+            monkeypatch.setattr(nb, "TILE", tile)
+            monkeypatch.setattr(nb, "BORDER", 4)
+            rows = traverse(ts, parse_lags("x,0,1:x,-1;x,-2"), map_).predictions.orderBy("params_id", "target_num", "pre_val_num").collect()
+            got.append(rows)
+        assert len(got[0]) == len(got[1]) == 1697 * 2 * len(map_.thetas)
+        for a, b in zip(*got):
+            assert a["status"] == b["status"] and a["rank"] == b["rank"] and a["n_used"] == b["n_used"] == map_.nnn
+            assert (a["pre_val"] is None) == (b["pre_val"] is None) and (a["coef"] is None) == (b["coef"] is None)
+            assert a["pre_val"] is None or a["pre_val"] == pytest.approx(b["pre_val"], abs=1e-9)
+
+
+def test_many_solutions_at_once_are_those_of_each():
+    rng = np.random.default_rng(1)
+    stack = [rng.normal(size=(m, 5)) * scale for m in (1, 2, 3, 4, 9) for scale in (1.0, 1e-12, 1e-20)]
+    stack += [np.zeros((4, 5)), np.eye(5), np.diag([1e-9, 1.0, 1.0, 1.0, 1.0]), np.ones((6, 5)), np.repeat(rng.normal(size=(1, 5)), 7, 0)]
+    made = [np.linalg.svd(smap.triangles(c))[1:] for c in stack]
+    for n in (3, 4):
+        got = smap.all_from_singular(np.array([s for s, _ in made]), np.array([vt for _, vt in made]), np.array([len(c) for c in stack]), n)
+        for c, (s, vt), x, rank, warning in zip(stack, made, *got):
+            want = smap.from_singular(s, vt, len(c), n)
+            assert (rank, warning) == want[1:] and np.allclose(x, want[0], rtol=1e-9)
